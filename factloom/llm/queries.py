@@ -25,3 +25,93 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import JaccardJoin
 
     return JaccardJoin(shingle=4, percent=85).classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import LanguageIdentifier, fold
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold() == 2, F.lit(False))
+    ident = LanguageIdentifier().fit(docs.where(~held_out))
+    out = ident.annotate(docs, keep=[F.col("doc_id"), held_out.alias("held_out")])
+    return out.withColumnRenamed("lang_score", "score")
+
+
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import HilbertPacker
+
+    pieces = HilbertPacker(word_bpe(), length=2048, end_id=1).pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import SubstringDedup
+
+    out = SubstringDedup(window=13).clean(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import TopKSearch
+
+    return TopKSearch(k=5, scale=256).search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE_SQL["op7_topk_search"] = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_zip(q.e, c.e)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import Fingerprinter
+
+    docs = table(spark, sf_dir, "documents")
+    maker = Fingerprinter()
+    return maker.edited(docs, maker.fit(docs))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import LineDedup
+
+    out = LineDedup().clean(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_kept", "lines_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+# weights of the mix, by level and name; names not listed weigh 1
+MIX_WEIGHTS = {("domain", "web"): 4, ("domain", "books"): 3, ("domain", "code"): 2, ("domain", "forum"): 1, ("lang", "en"): 5, ("lang", "de"): 2, ("lang", "fr"): 2}
+MIX_DOMAINS = ("web", "books", "code", "forum")
+
+
+def source_domain():
+    """The domain of a source: its number, modulo the domains; web without one."""
+    n = F.coalesce(F.regexp_extract("source", r"([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % len(MIX_DOMAINS)
+    return F.element_at(F.array(*map(F.lit, MIX_DOMAINS)), n + 1)
+
+
+def mixture():
+    from .mixing import MixtureBudget
+
+    levels = {"domain": source_domain(), "lang": F.col("lang"), "source": F.col("source")}
+    return MixtureBudget(levels, MIX_WEIGHTS, max_epochs=2, seed=11)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture().select(table(spark, sf_dir, "documents"), percent=80)
+    return out.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_taken")
