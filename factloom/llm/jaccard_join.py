@@ -12,9 +12,9 @@ Frequency classes come from a histogram over all shingles of all documents
 (``sketch_bits``); only the set of heavy histogram cells is broadcast, a bitmap
 of fixed size.  Documents with equal sets are one class from the start.
 
-Candidates are not expanded within a group.  First every set tries one partner,
-the one it shares most keys with among the smallest set id and its predecessor
-of each key.  Found links are contracted; then only keys that still hold several
+Candidates are not expanded within a group.  First every set tries a few
+partners, those it shares most keys with among its predecessors in some seeded
+orders.  Found links are contracted; then only keys that still hold several
 components are expanded, and only across components, so every link that could
 join two components is verified and no other.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitfilter
@@ -38,7 +38,7 @@ from . import textkernel as tk
 from .components import components
 from .scratch import Scratch
 
-PAIRS_UP_TO = 24  # frequent shingles of a prefix that are indexed as pairs
+PAIRS_UP_TO = 6  # frequent shingles of a prefix that are indexed as pairs
 
 
 def shingle_sets(w: tk.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +93,15 @@ def _histogram(n: int, bits: int):
     return run
 
 
-def _heavy(docs: DataFrame, n: int, bits: int, sigmas: float) -> np.ndarray:
+def _heavy(docs: DataFrame, n: int, bits: int, sigmas: float, scratch: Scratch) -> np.ndarray:
     """Heavy cells of the shingle histogram, as a bitmap of 2**bits bits."""
     cells = docs.select("text").mapInArrow(_histogram(n, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = cells.select("cell", "n")
+    rows = scratch.table(cells, "cells")
     size = 1 << bits
-    total = rows.agg(F.sum("n").alias("s"), F.percentile_approx("n", 0.5).alias("m")).persist()
-    s = total.first()
-    total.unpersist()
+    s = rows.agg(F.sum("n").alias("s"), F.percentile_approx("n", 0.5).alias("m")).first()
     base = (s.m or 0) if (s.s or 0) >= size else (s.s or 0) / size
     limit = max(base + sigmas * math.sqrt(base + 1), 8.0)
-    return bitfilter.build(rows.where(F.col("n") > limit).select("cell"), "cell", bits)
+    return bitfilter.build(rows.where(F.col("n") > limit), "cell", bits)
 
 
 def _postings(n: int, percent: int, bits: int, heavy: np.ndarray):
@@ -113,7 +111,7 @@ def _postings(n: int, percent: int, bits: int, heavy: np.ndarray):
                 g, offs = shingle_sets(w, n)
                 ids = _set_ids(g, offs)
                 hot = bitfilter.test(heavy, (g >> tk.U(64 - bits)).astype(np.int64)) if len(g) else np.zeros(0, bool)
-                keys, counts = [], np.zeros(w.rows, np.int64)
+                keys, counts, often = [], np.zeros(w.rows, np.int64), np.zeros(w.rows, np.int64)
                 for r in range(w.rows):
                     size = int(offs[r + 1] - offs[r])
                     if size < 2:
@@ -122,7 +120,7 @@ def _postings(n: int, percent: int, bits: int, heavy: np.ndarray):
                     most = size - need + 2
                     own, flag = g[offs[r] : offs[r + 1]], hot[offs[r] : offs[r + 1]]
                     k = _keys(own[~flag][:most], own[flag], most, percent)
-                    counts[r] = len(k)
+                    counts[r], often[r] = len(k), max(0, most - int((~flag).sum()))
                     keys.append(k)
                 flat = np.concatenate(keys) if keys else np.zeros(0, tk.U)
                 at = np.zeros(w.rows + 1, np.int32)
@@ -132,9 +130,10 @@ def _postings(n: int, percent: int, bits: int, heavy: np.ndarray):
                         b.column(0).slice(w.row0, w.rows).cast(pa.int64()),
                         pa.array(np.diff(offs).astype(np.int64)),
                         tk.signed(ids),
+                        pa.array(often),
                         pa.ListArray.from_arrays(pa.array(at), tk.signed(flat)),
                     ],
-                    names=["doc_id", "size", "set_id", "keys"],
+                    names=["doc_id", "size", "set_id", "often", "keys"],
                 )
 
     return run
@@ -200,25 +199,26 @@ class JaccardJoin:
     frequency histogram, ``filter_bits`` the filter of documents to reread; both
     only steer cost, never the result."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, sketch_bits: int = 17, sigmas: float = 8.0, filter_bits: int = 24):
+    def __init__(self, shingle: int = 5, percent: int = 80, sketch_bits: int = 18, sigmas: float = 8.0, filter_bits: int = 24, orders: int = 4, turns: int = 3):
         self.shingle, self.percent = shingle, percent
         self.sketch_bits, self.sigmas, self.filter_bits = sketch_bits, sigmas, filter_bits
+        self.orders, self.turns = orders, turns
 
     def classes(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "jaccard")
         docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        heavy = _heavy(docs, self.shingle, self.sketch_bits, self.sigmas)
+        heavy = _heavy(docs, self.shingle, self.sketch_bits, self.sigmas, scratch)
         rows = scratch.table(
             docs.mapInArrow(
-                _postings(self.shingle, self.percent, self.sketch_bits, heavy), "doc_id long, size long, set_id long, keys array<long>"
+                _postings(self.shingle, self.percent, self.sketch_bits, heavy), "doc_id long, size long, set_id long, often long, keys array<long>"
             ),
             "rows",
         )
         sets = rows.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
         whole = scratch.table(sets, "sets")
-        first = rows.where("size > 1").join(whole, ["set_id", "doc_id"]).select("set_id", "size", F.explode("keys").alias("key"))
+        first = rows.where("size > 1").join(whole, ["set_id", "doc_id"]).select("set_id", "size", "often", F.explode("keys").alias("key"))
         posted = self._posted(first)
         post = scratch.table(posted, "postings")
         links = self._links(docs, whole, post, scratch)
@@ -239,56 +239,93 @@ class JaccardJoin:
         return out.select("doc_id", F.col("size").alias("n_shingles"), root.alias("component_id"))
 
     def _posted(self, first: DataFrame) -> DataFrame:
-        """Keys that several sets share, with the size of each."""
+        """Keys that several sets share, with the size of each set and the most
+        prefix shingles that it can share with another: frequent ones, and rare
+        ones that some other set has in its prefix too."""
         kind = F.col("key").bitwiseAND(F.lit(3))
         key = F.when(kind == 3, F.col("key") - 1).otherwise(F.col("key")).alias("key")
-        flat = first.select("set_id", "size", key, (kind == 3).alias("long"))
-        return flat.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("m")
+        flat = first.select("set_id", "size", "often", key, (kind == 3).alias("long"))
+        met = flat.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("m")
+        rare = F.count(F.when(F.col("key").bitwiseAND(F.lit(3)) == 0, 1)).over(Window.partitionBy("set_id"))
+        return met.withColumn("most", F.col("often") + rare).where("most > 1").drop("often")
+
+    def _needed(self, u: str, v: str) -> Column:
+        """Shared prefix shingles that a linked pair of these sizes has at least."""
+        p = self.percent
+        overlap = F.expr(f"({p} * ({u} + {v}) + {99 + p}) div {100 + p}")
+        return overlap - F.expr(f"({p} * greatest({u}, {v}) + 99) div 100") + 2
 
     def _links(self, docs: DataFrame, sets: DataFrame, post: DataFrame, scratch: Scratch) -> DataFrame | None:
-        by_key = Window.partitionBy("key").orderBy("set_id")
-        near = post.select(
-            "key", "set_id", F.lag("set_id").over(by_key).alias("last"), F.first("set_id").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("least")
-        )
-        # the two partners are counted apart: the least first, as it stays the same from key to key
-        def best(column: str) -> DataFrame:
-            votes = near.where(f"{column} is not null and {column} <> set_id").groupBy("set_id", column).agg(F.count("*").alias("n"))
-            return votes.groupBy("set_id").agg(F.max_by(column, F.struct("n", -F.col(column))).alias("mate"))
-
-        pairs = scratch.table(best("least").union(best("last")).select(F.greatest("set_id", "mate").alias("u"), F.least("set_id", "mate").alias("v")).distinct(), "tries")
-        content = self._content(docs, sets, post.select("set_id"), scratch)
-        found = scratch.table(self._check(pairs, content), "links")
-        if found.isEmpty():
-            label = None
-            marked = post.withColumn("root", F.col("set_id"))
-        else:
+        open_ = post.withColumn("root", F.col("set_id"))
+        found = pairs = None
+        for turn in range(self.turns):
+            new = scratch.table(self._tries(open_, turn), "tries")
+            links = scratch.table(self._check(docs, sets, new, scratch), "links")
+            found = links if found is None else scratch.table(found.union(links), "links")
+            pairs = new if pairs is None else pairs.union(new)
+            if links.isEmpty():
+                break
             label = components(found, scratch).withColumnRenamed("node", "set_id")
             marked = post.join(label, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        spread = marked.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        open_ = scratch.table(marked.join(spread, "key"), "open")
-        left = open_.select("key", *(F.col(c).alias(f"{c}_u") for c in ("set_id", "size", "root", "long")))
-        right = open_.select("key", *(F.col(c).alias(f"{c}_v") for c in ("set_id", "size", "root", "long")))
-        cross = (
+            spread = marked.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+            open_ = scratch.table(marked.join(spread, "key"), "open")
+        cross = scratch.table(self._across(open_).join(pairs, ["u", "v"], "left_anti"), "cross")
+        more = self._check(docs, sets, cross, scratch)
+        links = scratch.table(found.union(more), "all")
+        scratch.drop(post, open_)
+        return None if links.isEmpty() else links
+
+    def _tries(self, post: DataFrame, turn: int) -> DataFrame:
+        """A few likely partners for each set: in each of some seeded orders the
+        set before it in a key, and the smallest set of a key; of each kind the
+        one met in most keys, if in enough of them to be likely."""
+        at = F.struct("set_id", "size", "root")
+        by_id = Window.partitionBy("key").orderBy("set_id")
+        upto = by_id.rowsBetween(Window.unboundedPreceding, 0)
+        found = [F.first(at).over(upto)]
+        for seed in range(turn * self.orders, (turn + 1) * self.orders):
+            found.append(F.lag(at).over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "set_id"), "set_id")))
+        met = post.select("set_id", "size", "root", F.array(*found).alias("met"))
+        near = met.select("set_id", "size", F.posexplode("met").alias("kind", "other"), "root").where("other.root <> root")
+        near = near.where(f"100 * least(size, other.size) >= {self.percent} * greatest(size, other.size)")
+        votes = near.groupBy("set_id", "kind", "size", "other").agg(F.count("*").alias("n")).where("20 * (n + 1) >= least(size, other.size)")
+        mate = F.col("other.set_id")
+        best = votes.groupBy("set_id", "kind").agg(F.max_by(mate, F.struct("n", -mate)).alias("mate"))
+        return best.select(F.greatest("set_id", "mate").alias("u"), F.least("set_id", "mate").alias("v")).distinct()
+
+    def _across(self, open_: DataFrame) -> DataFrame:
+        """All pairs of different components that share enough keys."""
+        cols = ("set_id", "size", "root", "long", "most")
+        left = open_.select("key", *(F.col(c).alias(f"{c}_u") for c in cols))
+        right = open_.select("key", *(F.col(c).alias(f"{c}_v") for c in cols))
+        met = (
             left.join(right, "key")
             .where("root_u <> root_v and set_id_u > set_id_v")
             .where(f"100 * least(size_u, size_v) >= {self.percent} * greatest(size_u, size_v)")
             .where("(key & 3) <> 2 or long_u or long_v")
-            .select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v"))
-            .distinct()
+            .where(F.least("most_u", "most_v") >= self._needed("size_u", "size_v"))
+            .groupBy("set_id_u", "set_id_v", "size_u", "size_v")
+            .agg(*(F.count(F.when(F.col("key").bitwiseAND(F.lit(3)) == k, 1)).alias(f"n{k}") for k in range(3)))
         )
-        more = scratch.table(self._check(cross.join(pairs, ["u", "v"], "left_anti"), content), "more")
-        links = scratch.table(found.union(more), "all")
-        scratch.drop(post, open_, content)
-        return None if links.isEmpty() else links
+        # c shared pairs of frequent shingles come from (1 + sqrt(1 + 8 c)) / 2 of them; none may still be one
+        shared = F.col("n0") + F.greatest(F.col("n2"), F.ceil((1 + F.sqrt(1 + 8 * F.col("n1"))) / 2))
+        enough = shared >= self._needed("size_u", "size_v")
+        return met.where(enough).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v"))
 
     def _content(self, docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         """Shingle sets of the documents that stand for the wanted sets."""
-        need = sets.join(wanted.distinct(), "set_id", "left_semi").select("set_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+        need = scratch.table(
+            sets.join(wanted, "set_id", "left_semi").select("set_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "need"
+        )
         bits = bitfilter.build(need, "doc_id", self.filter_bits)
         both = docs.mapInArrow(_sets(self.shingle, bits), "set_id long, shingles binary")
         return scratch.table(both.join(need.select("set_id"), "set_id", "left_semi"), "content")
 
-    def _check(self, pairs: DataFrame, content: DataFrame) -> DataFrame:
+    def _check(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id")))
+        content = self._content(docs, sets, wanted, scratch)
         a = content.select(F.col("set_id").alias("u"), F.col("shingles").alias("x"))
         b = content.select(F.col("set_id").alias("v"), F.col("shingles").alias("y"))
         both = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y")
