@@ -115,3 +115,72 @@ def mixture():
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture().select(table(spark, sf_dir, "documents"), percent=80)
     return out.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_taken")
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is chosen; rejected is the same one with its last
+    assistant turn replaced by that of the conversation with the next id."""
+    from .chat_format import gathered, preference_pairs
+
+    turns = gathered(table(spark, sf_dir, "conversations"))
+    is_answer = F.transform("turns", lambda t: t["role"] == "assistant")
+    last = F.size("turns") - F.array_position(F.reverse(is_answer), True).cast("int")  # size, if there is none
+    own = turns.withColumn("last", last).withColumn("answer", F.get("turns", F.col("last")))
+    other = own.where("answer is not null").select((F.col("conv") - 1).alias("conv"), F.col("answer.text").alias("instead"))
+    both = own.join(other, "conv", "left")
+    swapped = F.transform("turns", lambda t, k: F.when(k == F.col("last"), F.struct(t["role"].alias("role"), F.col("instead").alias("text"))).otherwise(t))
+    pairs = both.select(F.col("conv").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("instead").isNotNull(), swapped).alias("rejected"))
+    out = preference_pairs(pairs)
+    spans = [F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["start"], x["stop"])), " ").alias(m) for m in ("chosen_mask", "rejected_mask")]
+    return out.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", *spans, "status")
+
+
+ORACLE_SQL["op4_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id AS conv, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'user'), coalesce(text, '')) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv, max(k) AS last, arg_max(text, k) AS answer FROM t WHERE role = 'assistant' GROUP BY conv),
+s AS (
+  SELECT t.*, a.last, n.answer AS instead,
+         CASE WHEN t.k = a.last THEN n.answer ELSE t.text END AS other
+  FROM t LEFT JOIN a ON a.conv = t.conv LEFT JOIN a n ON n.conv = t.conv + 1),
+p AS (SELECT conv, count(*) AS n, bool_or(instead IS NOT NULL) AS there,
+             coalesce(min(CASE WHEN text <> other THEN k END), count(*)) AS prefix FROM s GROUP BY conv),
+w AS (
+  SELECT s.conv, s.k, s.role, p.prefix, p.there, s.text, s.other,
+    '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS shown,
+    '<|' || role || '|>' || chr(10) || other || chr(10) || '<|end|>' || chr(10) AS shown_other
+  FROM s JOIN p ON p.conv = s.conv),
+o AS (
+  SELECT *,
+    sum(CASE WHEN k >= prefix THEN length(shown) ELSE 0 END) OVER (PARTITION BY conv ORDER BY k) AS stop,
+    sum(CASE WHEN k >= prefix THEN length(shown_other) ELSE 0 END) OVER (PARTITION BY conv ORDER BY k) AS stop_other
+  FROM w),
+g AS (
+  SELECT conv, any_value(prefix) AS prefix, any_value(there) AS there, count(*) AS n,
+    coalesce(string_agg(CASE WHEN k < prefix THEN shown END, '' ORDER BY k), '') AS prompt,
+    coalesce(string_agg(CASE WHEN k >= prefix THEN shown END, '' ORDER BY k), '') AS chosen,
+    coalesce(string_agg(CASE WHEN k >= prefix THEN shown_other END, '' ORDER BY k), '') AS rejected,
+    coalesce(string_agg(CASE WHEN k >= prefix AND role = 'assistant' THEN (stop - length(text) - 9)::BIGINT || '-' || stop::BIGINT END, ' ' ORDER BY k), '') AS chosen_mask,
+    coalesce(string_agg(CASE WHEN k >= prefix AND role = 'assistant' THEN (stop_other - length(other) - 9)::BIGINT || '-' || stop_other::BIGINT END, ' ' ORDER BY k), '') AS rejected_mask,
+    coalesce(bool_or(k >= prefix AND role = 'assistant'), false) AS answers
+  FROM o GROUP BY conv)
+SELECT conv AS pair_id,
+  CASE WHEN there THEN prefix ELSE 0 END::INTEGER AS prefix_turns,
+  CASE WHEN there THEN prompt ELSE '' END AS prompt, CASE WHEN there THEN chosen ELSE '' END AS chosen,
+  CASE WHEN there THEN rejected ELSE '' END AS rejected, CASE WHEN there THEN chosen_mask ELSE '' END AS chosen_mask,
+  CASE WHEN there THEN rejected_mask ELSE '' END AS rejected_mask,
+  CASE WHEN NOT there THEN 'missing' WHEN prefix = n THEN 'equal' WHEN NOT answers THEN 'no_completion' ELSE 'ok' END AS status
+FROM g
+"""
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import SuffixDedup
+
+    out = SuffixDedup(least=50).report(table(spark, sf_dir, "documents"))
+    shown = F.array_join(F.transform("passages", lambda s: F.concat_ws("-", s["lo"], s["hi"])), " ")
+    return out.select("doc_id", "n_repeated", "n_removed", F.col("mate").alias("copy_doc_id"), shown.alias("passages"))
