@@ -165,10 +165,12 @@ class LanguageModel:
         return out
 
 
-def _predict(model: LanguageModel, gap: float):
+def _predict(model: LanguageModel, gap: float, at: int, keep: int):
+    """Adds the prediction for the text in column ``at`` to the first ``keep``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(b.num_columns - 1)
+            column = b.column(at)
             ok = _lettered(column)
             pred = np.full(b.num_rows, UNKNOWN, object)
             score, unsure = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
@@ -176,13 +178,13 @@ def _predict(model: LanguageModel, gap: float):
                 for part, offs, row0, n in _texts(column):
                     best, top, second = model.decode(model.margins(part, offs))
                     on = ok[row0 : row0 + n]
-                    at = row0 + np.flatnonzero(on)
-                    pred[at] = [model.names[k] for k in best[on]]
-                    score[at] = top[on]
-                    unsure[at] = (top - second)[on] < gap
+                    spot = row0 + np.flatnonzero(on)
+                    pred[spot] = [model.names[k] for k in best[on]]
+                    score[spot] = top[on]
+                    unsure[spot] = (top - second)[on] < gap
             yield pa.record_batch(
-                [*b.columns[:-1], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(unsure)],
-                names=[*b.schema.names[:-1], "lang_pred", "lang_score", "lang_ambiguous"],
+                [*b.columns[:keep], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(unsure)],
+                names=[*b.schema.names[:keep], "lang_pred", "lang_score", "lang_ambiguous"],
             )
 
     return run
@@ -217,10 +219,15 @@ class LanguageIdentifier:
         lang_pred, lang_score and lang_ambiguous."""
         new = {"lang_pred", "lang_score", "lang_ambiguous"}
         cols = keep if keep is not None else [F.col(f"`{c}`") for c in rows.columns if c not in new]
-        df = rows.select(*cols, F.col(text).alias("__text"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema[:-1])
+        df = rows.select(*cols)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         schema += ("," if schema else "") + " lang_pred string, lang_score double, lang_ambiguous boolean"
-        return df.mapInArrow(_predict(self.model, self.gap), schema)
+        n = at = len(df.columns)
+        if keep is None:
+            at = df.columns.index(text)
+        else:
+            df = rows.select(*cols, F.col(text).alias("__text"))
+        return df.mapInArrow(_predict(self.model, self.gap, at, n), schema)
 
 
 def fold(key: str = "doc_id") -> Column:
