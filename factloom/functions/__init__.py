@@ -1 +1 @@
-
+"""Scalar functions, as Column expressions wherever Spark has the means."""

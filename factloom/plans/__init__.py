@@ -2,6 +2,7 @@
 
 
 def load_catalogue():
-    from . import catalogue
+    """All registered queries and their SQL twins."""
+    from . import catalogue, findings_queries, relation_queries  # noqa: F401
 
     return catalogue.QUERIES, catalogue.SQL
