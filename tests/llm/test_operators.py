@@ -1,0 +1,314 @@
+"""Brute-force checks of the training-data operators on small tables with nulls,
+empty and long texts, ties, repeated rows and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from factloom.llm.chat_format import gathered, preference_pairs
+from factloom.llm.fingerprints import Fingerprinter
+from factloom.llm.jaccard_join import JaccardJoin, keep_one
+from factloom.llm.language_id import LanguageIdentifier, codewords
+from factloom.llm.line_dedup import LineDedup
+from factloom.llm.mixing import MixtureBudget
+from factloom.llm.packing import HilbertPacker, hilbert
+from factloom.llm.queries import word_bpe
+from factloom.llm.substring_dedup import SubstringDedup
+from factloom.llm.suffix_dedup import SuffixDedup
+from factloom.llm.topk_search import TopKSearch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, piece string"
+
+
+def corpus(seed=3, n=70):
+    """Documents with copies, near copies, shared passages, and odd rows."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    some = lambda k: [rng.choice(vocab) for _ in range(k)]
+    passage, base = some(60), some(120)
+    out = []
+    for i in range(n):
+        w = some(rng.randint(1, 150))
+        if i % 5 == 0:
+            w[len(w) // 2 : len(w) // 2] = passage
+        if i % 7 == 0:
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        text = "".join(x + rng.choice([" ", " ", "\n", " \t"]) for x in w)
+        out.append((i, text))
+    out += [(n, None), (n + 1, ""), (n + 2, "  \n\t "), (n + 3, "one"), (n + 4, "One"), (n + 5, "é" * 5000), (n + 6, "x y " * 3000)]
+    out += [(n + 7, out[0][1]), (n + 8, out[7][1].upper()), (n + 9, out[5][1])]
+    return [(d, t, ("en", "fr", None)[d % 3], f"src{d % 4}" if d % 9 else None, len(t or ""), "k", 1, "p") for d, t in out]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text, fold=False):
+    text = text or ""
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text) if fold else text)
+
+
+def test_substring_dedup(docs, rows, none):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in SubstringDedup(13).clean(docs).collect()}
+    first = {}
+    for d, t, *_ in sorted(rows):
+        w = words(t)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    for d, t, *_ in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < d:
+                gone[i : i + 13] = [True] * 13
+        assert got[d] == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)), d
+    assert SubstringDedup(13).clean(none).count() == 0
+
+
+def test_substring_dedup_small_shards(docs):
+    small = SubstringDedup(13, filter_bits=15, shard_words=50).clean(docs)
+    assert sorted(small.collect()) == sorted(SubstringDedup(13).clean(docs).collect())
+
+
+def classes(rows, n, percent):
+    sets = {}
+    for d, t, *_ in rows:
+        w = words(t, True)
+        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {(d, len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("n", "percent", "bits", "seed"), [(4, 85, 18, 3), (5, 80, 4, 4), (1, 60, 15, 5)])
+def test_jaccard_join(spark, n, percent, bits, seed):
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in JaccardJoin(n, percent, sketch_bits=max(bits, 15), sigmas=8 if bits > 15 else 0.0).classes(docs).collect()}
+    assert got == classes(rows, n, percent)
+
+
+def test_jaccard_odd_rows(spark, none):
+    assert JaccardJoin().classes(none).count() == 0
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in JaccardJoin().classes(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 0, 2)], key=str)
+
+
+def test_keep_one(docs, rows):
+    left = {r.doc_id for r in keep_one(docs, JaccardJoin(4, 85)).collect()}
+    assert left == {d for d, _, c in classes(rows, 4, 85) if d == c}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i] + [0] * len(b), row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_line_dedup(spark, none):
+    rng = random.Random(9)
+    base = [f"abcdefgh ijklmnop qrstuvw xyz {i} and so on" for i in range(12)] + ["short", "a b c d e f g h", "x" * 40]
+
+    def edited(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "é", "t", "n"])
+        return "".join(s)
+
+    data = [(i, "\n".join(edited(rng.choice(base)) for _ in range(5)), 0) for i in range(30)]
+    data += [(None, base[0], 1), (40, None, 2), (41, "", 3), (42, base[1], 4), (42, base[1], 4)]
+    got = sorted(((r.doc_id, r.text, r.lines_dropped, r.gone) for r in LineDedup().clean(spark.createDataFrame(data, "doc_id long, text string, gone int")).collect()), key=str)
+    seen, out = [], {}
+    for d, t, _ in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
+        if (d, t) in out:
+            continue
+        kept, n = [], 0
+        for line in t.split("\n") if t is not None else []:
+            near = [m for m in seen if line == m or (min(len(line), len(m)) >= 30 and abs(len(line) - len(m)) < 3 and edits(line, m) <= 2)]
+            if len(line) >= 12 and near:
+                n += 1
+            else:
+                kept.append(line)
+            seen += [line] if len(line) >= 12 else []
+        out[d, t] = ("\n".join(kept) if t is not None else None, n)
+    want = [(d, *out[d, t], g) for d, t, g in data]
+    assert got == sorted(want, key=str)
+    assert LineDedup().clean(none).count() == 0
+
+
+def test_suffix_dedup(docs, rows, none):
+    got = {r.doc_id: r.n_repeated for r in SuffixDedup(50).report(docs).collect()}
+    places = {}
+    for d, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - 49):
+            places.setdefault(tuple(w[i : i + 50]), []).append(d)
+    for d, t, *_ in rows:
+        w = words(t)
+        hit = [False] * len(w)
+        for i in range(len(w) - 49):
+            if len(places[tuple(w[i : i + 50])]) > 1:
+                hit[i : i + 50] = [True] * 50
+        assert got.get(d, 0) == sum(hit), d
+    assert SuffixDedup(50).report(none).count() == 0
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(1)
+    data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
+    data += [(300 + i, data[7][1]) for i in range(150)] + [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (None, data[0][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    ok = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    m, ids = np.array([v for _, v in ok]), np.array([i for i, _ in ok])
+    want = set()
+    for k in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[k]
+        best = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[k]][:5]
+        want |= {(int(ids[k]), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(best)}
+    from pyspark.sql import functions as F
+
+    got = TopKSearch(5, 256, cells=16, few=6, block=64, query_block=4).search(df, F.col("vec_id") % 50 == 0)
+    assert {tuple(r) for r in got.collect()} == want
+    assert TopKSearch().search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert TopKSearch().search(df.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_fingerprints(docs, rows, none):
+    maker = Fingerprinter()
+    got = {r.doc_id: r for r in maker.edited(docs, maker.fit(docs)).collect()}
+    ring = sorted(rows, reverse=True)
+    for (d, t, *_), (_, nxt, *_) in zip(ring, ring[1:] + ring[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + nxt[:cut]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
+    by_text = {}
+    for d, t, *_ in rows:
+        by_text.setdefault(t or "", set()).add(got[d].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert maker.edited(none, maker.fit(none)).count() == 0
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path = word_bpe()
+    model = Tokenizer.from_file(path)
+    found = HilbertPacker(path, 256, run_tokens=3000).pack(docs).collect()
+    ids = {d: model.encode(t or "", add_special_tokens=False).ids + [1] for d, t, *_ in rows}
+    pieces, seqs = {}, {}
+    for r in found:
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert zlib.crc32(r.ids) == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, p in pieces.items():
+        assert [s for s, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) == len(ids[d])
+    for p in seqs.values():
+        p.sort()
+        assert [s for s, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 256
+    assert set(pieces) == set(ids)
+    assert HilbertPacker(path).pack(none).count() == 0
+
+
+def test_hilbert_neighbours():
+    grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
+    key = hilbert(grid, 3)
+    assert sorted(key) == list(range(512))
+    steps = np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1)
+    assert set(steps) == {1}
+
+
+def test_language_id(spark, none):
+    rng = random.Random(2)
+    stock = {"aa": "th he and ing ou", "bb": "eau ion que les é", "cc": "der ung sch ü ein", "dd": "os ñ que ado la"}
+    make = lambda k: " ".join("".join(rng.choice(stock[k].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60)))
+    data = [(i, make(k), k) for i, k in enumerate(sorted(stock) * 60)]
+    data += [(900, None, "aa"), (901, "", None), (902, "12 34 !!", "bb"), (903, make("aa"), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in LanguageIdentifier(sample_rows=30).fit(df.where("doc_id % 5 <> 2")).annotate(df).collect()}
+    right = sum(out[i].lang_pred == k for i, _, k in data[:240]) / 240
+    assert right > 0.97
+    assert [out[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
+    assert out[901].lang_score == 0 and all(0 <= r.lang_score <= 1 for r in out.values())
+    assert {r.lang_pred for r in LanguageIdentifier().fit(df.limit(0)).annotate(df).collect()} == {"und"}
+    assert LanguageIdentifier().fit(none).annotate(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 9, 40])
+def test_codewords_differ(n):
+    code = codewords(n)
+    assert len({tuple(r) for r in code}) == n
+
+
+def test_mixing(spark, docs, rows, none):
+    from pyspark.sql import functions as F
+
+    mix = MixtureBudget({"lang": F.col("lang"), "source": F.col("source")}, {("lang", "en"): 5, ("lang", "fr"): 0}, max_epochs=2, bucket_rows=3)
+    got = mix.select(docs, percent=70).collect()
+    total = sum(len(words(r[1])) for r in rows) * 70 // 100
+    supply = {}
+    for _d, t, lang, source, *_ in rows:
+        if lang != "fr":
+            supply[(lang, source)] = supply.get((lang, source), 0) + 2 * len(words(t))
+    taken = sum(r.mix_taken for r in got)
+    assert taken == min(total, sum(supply.values()))
+    assert all(0 <= r.mix_taken <= r.mix_tokens for r in got) and not any(r.mix_lang == "fr" for r in got)
+    per = {}
+    for r in got:
+        key = (r.lang, r.source)
+        per[key] = per.get(key, 0) + r.mix_taken
+    assert all(per[k] <= supply[k] for k in per)
+    again = mix.select(docs.repartition(5), percent=70).collect()
+    assert sorted((r.doc_id, r.mix_epoch, r.mix_taken) for r in got) == sorted((r.doc_id, r.mix_epoch, r.mix_taken) for r in again)
+    assert mix.select(none).count() == 0
+
+
+def test_chat_format(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, None, None), (4, 0, "user", "hi")]
+    conv = {r.conv: r.turns for r in gathered(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    kind = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, conv[1], conv[2]), (2, conv[1], conv[1]), (3, conv[1], conv[4]), (4, conv[3], None), (5, [], conv[1])], kind)
+    out = {r.pair_id: r for r in preference_pairs(pairs).collect()}
+    assert [out[k].status for k in (1, 2, 3, 4, 5)] == ["ok", "equal", "no_completion", "missing", "no_completion"]
+    one = out[1]
+    assert one.prompt == "<|user|>\nhi\n<|end|>\n" and one.prefix_turns == 1
+    (span,) = one.chosen_mask
+    assert one.chosen[span.start : span.stop] == "yes\n<|end|>\n"
