@@ -42,7 +42,7 @@ def judged(counts: DataFrame, bar: float, least: int) -> DataFrame:
 
 def fire_rates(df: DataFrame, rule: str, place: str, places: Sequence) -> DataFrame:
     """Counts by rule and place, zero where a rule never fires."""
-    return df.groupBy(rule).pivot(place, list(places)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(rule).pivot(place, list(places)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def grown(now: DataFrame, before: DataFrame, label: str, value: str, times: float = 2.0, plus: float = 0.1) -> DataFrame:

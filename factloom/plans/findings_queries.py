@@ -74,7 +74,7 @@ def rollup_order(spark, sf):
 
 SHAPE = "md5(concat(status, '|', cast(ord % 7 as string)))"
 SHAPE_SQL = "md5(status || '|' || (ord % 7))"
-CUT = "1995-01-01"
+CUT = "1998-04-25"
 
 
 @query("baseline_snapshot", f"""
@@ -197,7 +197,7 @@ def profile_grown(spark, sf):
 
 @query("loc_buckets", """
 SELECT CASE WHEN source IN ('src0', 'src1') THEN 'vendored' WHEN lang <> 'en' THEN 'test' WHEN text LIKE 'The%' THEN 'generated' ELSE 'prod' END AS bucket,
-  count(*) AS files, sum(len(list_filter(string_split(text, chr(10)), x -> trim(x) <> '')))::BIGINT AS lines FROM documents GROUP BY 1""")
+  count(*) AS files, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS lines FROM documents GROUP BY 1""")
 def loc_buckets(spark, sf):
     rules = [("vendored", F.col("source").isin("src0", "src1")), ("test", F.col("lang") != "en"), ("generated", F.col("text").startswith("The"))]
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
@@ -219,7 +219,7 @@ def world_diff(spark, sf):
 
 
 @query("compose_fixes", """
-WITH e AS (SELECT o_orderkey % 400 AS fix, o_custkey % 50 AS rel, o_orderkey % 11 AS line, o_orderstatus = 'F' AS deletes FROM orders WHERE o_orderkey % 3 = 0),
+WITH e AS (SELECT o_orderkey % 1500 AS fix, o_custkey % 500 AS rel, o_orderkey % 11 AS line, o_orderstatus = 'F' AS deletes FROM orders WHERE o_orderkey % 3 = 0),
 g AS (SELECT DISTINCT fix, rel, line FROM e WHERE deletes), t AS (SELECT DISTINCT fix, rel, line FROM e WHERE NOT deletes),
 n AS (SELECT fix, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT t.fix FROM t JOIN g USING (rel, line) WHERE t.fix <> g.fix),
@@ -228,7 +228,7 @@ i AS (SELECT s.fix FROM s JOIN n x ON x.fix = s.fix JOIN n y ON y.fix = s.other
 SELECT DISTINCT fix FROM e WHERE fix NOT IN (SELECT fix FROM c) AND fix NOT IN (SELECT fix FROM i)""")
 def compose_fixes(spark, sf):
     o = table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0)
-    e = o.select((F.col("o_orderkey") % 400).alias("fix"), (F.col("o_custkey") % 50).alias("rel"), (F.col("o_orderkey") % 11).alias("line"), (F.col("o_orderstatus") == "F").alias("deletes"))
+    e = o.select((F.col("o_orderkey") % 1500).alias("fix"), (F.col("o_custkey") % 500).alias("rel"), (F.col("o_orderkey") % 11).alias("line"), (F.col("o_orderstatus") == "F").alias("deletes"))
     return fo.compose_fixes(e)
 
 

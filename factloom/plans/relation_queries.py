@@ -33,10 +33,10 @@ def longest_prefix(spark, sf):
 
 
 @query("interval_owner", """
-WITH p AS (SELECT event_id, user_id, epoch_us(ts)::BIGINT // 1000000 AS at FROM events),
-s AS (SELECT user_id, event_id AS owner, at AS lo, at + (event_id % 7) * 600 AS hi FROM p WHERE event_id % 5 = 0)
+WITH p AS (SELECT event_id, user_id, epoch_us(ts)::BIGINT // 1000000 AS sec FROM events),
+s AS (SELECT user_id, event_id AS owner, sec AS lo, sec + (event_id % 7) * 600 AS hi FROM p WHERE event_id % 5 = 0)
 SELECT p.event_id, arg_min(s.owner, ((s.hi - s.lo)::HUGEINT * 100000000000 + s.lo)) AS owner
-FROM p LEFT JOIN s ON s.user_id = p.user_id AND p.at BETWEEN s.lo AND s.hi GROUP BY 1""")
+FROM p LEFT JOIN s ON s.user_id = p.user_id AND p.sec BETWEEN s.lo AND s.hi GROUP BY 1""")
 def interval_owner(spark, sf):
     p = table(spark, sf, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("at"))
     s = p.where("event_id % 5 = 0").select("user_id", F.col("event_id").alias("owner"), F.col("at").alias("lo"), (F.col("at") + (F.col("event_id") % 7) * 600).alias("hi"))
@@ -55,7 +55,7 @@ def span_newest(spark, sf):
     return lo.group_max_in_spans(p, s, "rel", "line", "lo", "hi", "ts", 64).select("rel", "owner", "ts")
 
 
-PATTERNS = [("Part#1", "0"), ("Part#2", "5"), ("P", "77"), ("part", "1"), ("", "99"), ("STANDARD", "L")]
+PATTERNS = [("small", "g"), ("red w", "t"), ("b", "bolt"), ("hot", "gear"), ("", "nut"), ("green", "xyz")]
 
 
 @query("pattern_semi", "SELECT p_partkey, p_name FROM part WHERE " + " OR ".join(
@@ -211,20 +211,21 @@ def follow_aliases(spark, sf):
 
 
 @query("exact_value_params", """
-SELECT l_partkey, min(l_returnflag) AS value, count(*) AS sites FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1 AND count(*) >= 3""")
+SELECT l_orderkey, min(l_returnflag) AS value, count(*) AS sites FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1 AND count(*) >= 3""")
 def exact_value_params(spark, sf):
-    li = table(spark, sf, "lineitem").groupBy("l_partkey")
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey")
     out = li.agg(F.min("l_returnflag").alias("value"), F.max("l_returnflag").alias("b"), F.count("*").alias("sites"))
     return out.where("value = b and sites >= 3").drop("b")
 
 
 @query("dead_keys", """
-WITH w AS (SELECT event_type, unnest(json_keys(props)) AS k FROM events), r AS (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events WHERE event_id % 2 = 0 AND event_type = 'click')
-SELECT DISTINCT event_type, k AS key FROM w WHERE k NOT IN (SELECT k FROM r)""")
+WITH w AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'purchase' OR event_type = 'error'),
+r AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click' OR event_type = 'view')
+SELECT user_id, k AS key FROM w WHERE k IS NOT NULL AND (user_id, k) NOT IN (SELECT user_id, k FROM r WHERE k IS NOT NULL)""")
 def dead_keys(spark, sf):
-    e = table(spark, sf, "events")
-    keys = lambda df, *c: df.select(*c, F.explode(F.json_object_keys("props")).alias("key")).distinct()
-    return keys(e, "event_type").join(keys(e.where("event_id % 2 = 0 and event_type = 'click'")), "key", "left_anti").select("event_type", "key")
+    e = table(spark, sf, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("key")).where("key is not null")
+    written = e.where("event_type in ('purchase', 'error')").select("user_id", "key").distinct()
+    return written.join(e.where("event_type in ('click', 'view')"), ["user_id", "key"], "left_anti")
 
 
 @query("tri_state_join", """
@@ -257,10 +258,10 @@ def sheet_carry(spark, sf):
 
 @query("nearest_names")
 def nearest_names(spark, sf):
-    """For each nation the region names nearest to it by common subsequence."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    # both tables are the fixed geography of the schema: 25 and 5 rows at any scale
-    pairs = n.select("n_name", F.lit(1).alias("one")).join(r.select("r_name", F.lit(1).alias("one")), "one")
-    rated = pairs.select("n_name", "r_name", name_ratio(F.lower("n_name"), F.lower("r_name")).alias("ratio")).where("ratio >= 0.4")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("m"), "r_name"))), 1, 5)
-    return rated.groupBy("n_name").agg(F.array_join(F.transform(best, lambda x: x["r_name"]), ",").alias("nearest"))
+    """For each nation the names nearest to it by common subsequence."""
+    # the fixed geography of the schema: 25 rows at any scale
+    n = table(spark, sf, "nation").select("n_name", F.lit(1).alias("one"))
+    pairs = n.join(n.withColumnRenamed("n_name", "other"), "one").where("n_name <> other")
+    rated = pairs.select("n_name", "other", name_ratio(F.lower("n_name"), F.lower("other")).alias("ratio")).where("ratio >= 0.4")
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("m"), "other"))), 1, 5)
+    return rated.groupBy("n_name").agg(F.array_join(F.transform(best, lambda x: x["other"]), ",").alias("nearest"))
