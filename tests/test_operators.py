@@ -224,3 +224,21 @@ def test_entry_has_no_training_import():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in {x for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, (ast.Import, ast.ImportFrom)) for x in ast.unparse(n).replace(".", " ").split()}
+
+
+def test_group_testing_vetoes_what_breaks():
+    from factloom.operators.verdicts import group_testing
+
+    bad, quiet = {3, 11}, {7}
+    runs = []
+
+    def check(group):
+        ids = {p[0] for p in group}
+        runs.append(len(ids))
+        if ids & bad:
+            return ids & bad  # the break names its cause
+        return set() if ids & quiet else None  # this one breaks something, but nothing points at it
+
+    kept, vetoed = group_testing([(k, f"f{k}") for k in range(16)], check)
+    assert sorted(vetoed) == [3, 7, 11] and sorted(kept) == [k for k in range(16) if k not in (3, 7, 11)]
+    assert max(runs) == 16 and len(runs) < 14
