@@ -7,6 +7,7 @@ in local tests, a temporary folder is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,13 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are over: it does so
+        once their plans are garbage, which a driver with little to do is slow to
+        find out."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = getattr(t, "_scratch_path", None)

@@ -6,7 +6,7 @@ words has an anchor, the least-hashed ``anchor``-word gram inside it, and equal
 windows have equal anchors.  Windows whose anchor occurs in one document only
 are settled by a filter of fixed size.  What is left is laid out as pieces, the
 longest runs of windows with one anchor; equal pieces are merged, keeping their
-smallest id.  All pieces of an anchor go to one task, which builds a suffix
+smallest id.  The distinct pieces of an anchor go to one task, which builds a suffix
 automaton over a bounded shard of pieces, notes for every state the smallest id
 of any document that holds it, and streams the same pieces through it: wherever
 the matching statistic reaches ``window`` words, the state's smallest id says
@@ -90,7 +90,18 @@ def _anchor_rows(window: int, n: int):
     return run
 
 
-def _piece_rows(window: int, n: int, seen: np.ndarray):
+def first_key(piece: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A key of a piece in a document; FIRST_KEY is the same in SQL."""
+    return piece ^ doc ^ (doc << np.int64(21))
+
+
+FIRST_KEY = "piece ^ doc_id ^ shiftleft(doc_id, 21)"
+
+
+def _piece_rows(window: int, n: int, seen: np.ndarray, firsts: np.ndarray | None = None):
+    """Pieces and their places; with ``firsts`` only pieces at their first
+    documents, and their words instead of their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = _ids(b.column(0))
@@ -101,21 +112,19 @@ def _piece_rows(window: int, n: int, seen: np.ndarray):
                     continue
                 h, first, last = h[on], first[on], last[on]
                 stop = last + window
+                up, down = tk._powers(len(w.hash) + 1)
                 total = np.zeros(len(w.hash) + 1, tk.U)
-                np.cumsum(w.hash * tk._powers(len(w.hash) + 1)[0][: len(w.hash)], out=total[1:])
-                piece = tk.mix((total[stop] - total[first]) * tk._powers(len(w.hash) + 1)[1][first] + (stop - first).astype(tk.U))
-                raw, offs = tk.gather(w.hash.view(np.uint8), first * 8, stop * 8)
-                yield pa.record_batch(
-                    [
-                        tk.signed(h),
-                        tk.signed(piece),
-                        pa.array(ids[w.row0 + w.doc[first]]),
-                        pa.array(first - w.first[w.doc[first]]),
-                        pa.array(stop - first),
-                        tk.binary_column(raw, offs),
-                    ],
-                    names=["anchor", "piece", "doc_id", "start", "words", "content"],
-                )
+                np.cumsum(w.hash * up[: len(w.hash)], out=total[1:])
+                piece = tk.mix((total[stop] - total[first]) * down[first] + (stop - first).astype(tk.U)).view(np.int64)
+                doc = ids[w.row0 + w.doc[first]]
+                if firsts is None:
+                    cols = [tk.signed(h), pa.array(piece), pa.array(doc), pa.array(first - w.first[w.doc[first]]), pa.array(stop - first)]
+                    yield pa.record_batch(cols, names=["anchor", "piece", "doc_id", "start", "words"])
+                    continue
+                on = bitfilter.test(firsts, first_key(piece, doc))
+                raw, offs = tk.gather(w.hash.view(np.uint8), first[on] * 8, stop[on] * 8)
+                cols = [tk.signed(h[on]), pa.array(piece[on]), pa.array(doc[on]), tk.binary_column(raw, offs)]
+                yield pa.record_batch(cols, names=["anchor", "piece", "doc_id", "content"])
 
     return run
 
@@ -198,8 +207,8 @@ class SuffixAutomaton:
 
 
 def _match(window: int, shard_words: int):
-    """Sorted by anchor, then piece: one row per distinct piece in, its windows
-    that smaller ids hold out."""
+    """Rows sorted by anchor, piece and id: for each distinct piece its windows
+    that smaller ids hold, if any."""
 
     def settle(groups: list[list[tuple]]) -> pa.RecordBatch:
         sam = SuffixAutomaton()
@@ -224,7 +233,8 @@ def _match(window: int, shard_words: int):
                             yield settle(shard)
                             shard, held = [], 0
                     now, group = anchor, []
-                group.append((piece, ident, content))
+                if not group or group[-1][0] != piece:
+                    group.append((piece, ident, content))
         if len(group) > 1:
             shard.append(group)
         if shard:
@@ -282,16 +292,21 @@ class SubstringDedup:
         rows = docs.mapInArrow(_anchor_rows(w, n), "anchor long, doc_id long")
         both = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
         seen = bitfilter.build(both, "anchor", self.filter_bits)
-        spec = "anchor long, piece long, doc_id long, start long, words long, content binary"
+        scratch.release()
+        spec = "anchor long, piece long, doc_id long, start long, words long"
         pieces = scratch.table(docs.mapInArrow(_piece_rows(w, n, seen), spec), "pieces")
-        merged = pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc_id"), F.first("content").alias("content"))
-        held = scratch.table(merged, "merged")
+        firsts = scratch.table(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc_id")), "firsts")
+        several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+        wanted = firsts.join(several, "anchor", "left_semi").select(F.expr(FIRST_KEY).alias("key"))
+        first = bitfilter.build(wanted, "key", self.filter_bits)
+        scratch.release()
+        spec = "anchor long, piece long, doc_id long, content binary"
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-        sent = held.select("anchor", "piece", "doc_id", "content").repartition(parts, "anchor").sortWithinPartitions("anchor", "piece")
+        sent = docs.mapInArrow(_piece_rows(w, n, seen, first), spec).repartition(parts, "anchor").sortWithinPartitions("anchor", "piece", "doc_id")
         hits = scratch.table(sent.mapInArrow(_match(w, self.shard_words), "piece long, hits array<long>"), "hits")
-        spots = pieces.select("anchor", "piece", "doc_id", "start", "words")
-        firsts = held.select("anchor", "piece", F.col("doc_id").alias("least"))
-        marked = spots.join(firsts, ["anchor", "piece"])
+        scratch.release()
+        # a piece's hash covers its words, so it names its anchor too
+        marked = pieces.drop("anchor").join(firsts.select("piece", F.col("doc_id").alias("least")), "piece")
         later = marked.where("doc_id > least").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("words")).alias("hi"))
         first = marked.where("doc_id = least").join(hits, "piece").select("doc_id", "start", F.explode("hits").alias("hit"))
         first = first.select("doc_id", (F.col("start") + F.col("hit")).alias("lo"))
@@ -303,6 +318,7 @@ class SubstringDedup:
         scratch = Scratch(docs.sparkSession, "substring")
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
         spans = scratch.table(self.spans(src, scratch), "spans")
+        scratch.release()
         key = F.coalesce("doc_id", F.lit(NO_ID))
         joined = src.withColumn("k", key).join(spans.withColumnRenamed("doc_id", "k"), "k", "left")
         return joined.select("doc_id", "text", "lo", "hi").mapInArrow(
