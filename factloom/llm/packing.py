@@ -8,8 +8,8 @@ So neighbours on the curve share sequences, and only the last sequence of a run
 is short.  A run is streamed: a task holds one Arrow batch at a time.
 
 White space in ASCII never joins two tokens of the vocabularies used, so words
-are encoded one by one by the tokenizer itself and remembered in a bounded
-dictionary per Python worker.
+are encoded by the tokenizer itself once and remembered in a table of fixed size
+per Python worker.
 
 Edge cases: a null or empty text is the end token alone; a text longer than a
 sequence spans several; rows with equal or null ids are packed as separate
@@ -26,33 +26,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .scratch import Scratch
 
 _WORKER: dict[str, "_Ids"] = {}
 
 
-class _Ids(dict):
-    """Ids of white-space-free pieces as little-endian 16- or 32-bit integers."""
+STOPS = b".,;:!?|"
 
-    def __init__(self, path: str, most: int):
+
+class _Ids:
+    """Token ids of white-space-free pieces, remembered in a direct-mapped table.
+
+    A piece's place follows from its 64-bit hash; a second hash, of that one with
+    length and first eight bytes, must agree.  Pieces that are not there are encoded together and take
+    their places over, so memory is bounded and frequent pieces come back soon."""
+
+    def __init__(self, path: str, bits: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocab = self.model.get_vocab(with_added_tokens=False)
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        # letters, then one stop: two tokens' worth of text that never merge
-        if len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha() and max(text) < "İ":
-            out = self[word[:-1]] + self[word[-1:]]
-        else:
-            out = np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        self[word] = out
-        return out
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
+        self.mask = tk.U((1 << bits) - 1)
+        self.sign, self.n, self.at = np.zeros(1 << bits, tk.U), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.pool, self.used = np.zeros(12 << bits, self.kind), 0
+
+    def ids(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a block, end to end, and the words' offsets."""
+        padded = np.zeros(len(w.data) + 8, np.uint8)
+        padded[: len(w.data)] = w.data
+        heads = np.ndarray((len(w.data) + 1,), "<u8", padded, strides=(1,))
+        size = w.end - w.start
+        head = heads[w.start] & (tk.U(0xFFFFFFFFFFFFFFFF) >> (tk.U(8) * np.maximum(8 - size, 0).astype(tk.U)))
+        sign = tk.mix(w.hash ^ (head * tk.U(0x9E3779B97F4A7C15)) ^ size.astype(tk.U)) | tk.U(1)
+        spot = (w.hash & self.mask).astype(np.int64)
+        hit = self.sign[spot] == sign
+        at, n = self.at[spot].astype(np.int64), self.n[spot]
+        lost = np.flatnonzero(~hit)
+        pool = self.pool
+        if len(lost):
+            _, first, back = np.unique(w.hash[lost], return_index=True, return_inverse=True)
+            one = lost[first]
+            raw = w.data.tobytes()
+            new, offs = self._encode([raw[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)])
+            if self.used + len(new) > len(pool):
+                # a full pool is started anew; this block still reads the old one
+                self.pool, self.used = np.zeros(max(len(pool), 2 * len(new)), self.kind), 0
+                self.sign[:] = 0
+                pool = np.concatenate([pool, new])
+                at[lost] = (offs[:-1] + len(pool) - len(new))[back]
+            else:
+                pool[self.used : self.used + len(new)] = new
+                at[lost] = (offs[:-1] + self.used)[back]
+            self.pool[self.used : self.used + len(new)] = new
+            n[lost] = np.diff(offs)[back]
+            k = spot[one]
+            self.sign[k] = sign[one]
+            self.at[k], self.n[k] = offs[:-1] + self.used, np.diff(offs)
+            self.used += len(new)
+        return tk.gather(pool, at, at + n)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words.  Letters with at most some stops after them are encoded as
+        one text: each of the two stretches has one end-of-word id, its last."""
+        plain, stretches, odd = [], [], []
+        for k, x in enumerate(words):
+            core = x.rstrip(STOPS)
+            if core.isalpha() or (core and not core.isascii() and _letters(core)):
+                plain.append(k)
+                stretches.append(1 + (len(core) < len(x)))
+            else:
+                odd.append(k)
+        parts: list[np.ndarray] = [np.zeros(0, self.kind)] * len(words)
+        if plain:
+            text = b" ".join([words[k] for k in plain]).decode()
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(stretches)
+            if len(stop) != last[-1]:
+                odd, plain = list(range(len(words))), []
+            else:
+                cut = stop[last - 1]
+                sizes = np.diff(cut, prepend=0)
+        if not odd:
+            return ids, np.append(0, np.cumsum(sizes))
+        for k in odd:
+            parts[k] = np.array(self.model.encode(words[k].decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+        if plain:
+            lo = (cut - sizes).tolist()
+            for k, a, b in zip(plain, lo, cut.tolist(), strict=True):
+                parts[k] = ids[a:b]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+
+def _letters(core: bytes) -> bool:
+    """Letters only, and below U+0130, where case folds letter by letter and
+    nothing composes."""
+    text = core.decode("utf-8", "replace")
+    return max(text) < "İ" and text.isalpha()
 
 
 def _ids(path: str, most: int) -> _Ids:
@@ -103,34 +178,44 @@ class HilbertPacker:
         seed: int = 17,
         run_tokens: int = 4_000_000,
         most_runs: int = 100_000,
-        remembered: int = 1_000_000,
+        table_bits: int = 21,
     ):
         self.tokenizer, self.length, self.end_id = tokenizer, length, end_id
         self.dims, self.bits, self.seed = dims, bits, seed
-        self.run_tokens, self.most_runs, self.remembered = run_tokens, most_runs, remembered
+        self.run_tokens, self.most_runs, self.table_bits = run_tokens, most_runs, table_bits
 
     def _encode(self):
-        path, end_id, dims, bits, seed, most = self.tokenizer, self.end_id, self.dims, self.bits, self.seed, self.remembered
+        path, end_id, dims, bits, seed, most = self.tokenizer, self.end_id, self.dims, self.bits, self.seed, self.table_bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = _ids(path, most)
             table = np.random.default_rng(seed).standard_normal((1 << 16, dims)).astype(np.float32)
-            end = np.array([end_id], ids.kind).tobytes()
+            flag = np.zeros(1 << 16, bool)
             for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    part = b.slice(k, 256)
-                    raw, vec = [], np.zeros((part.num_rows, dims))
-                    for r, text in enumerate(part.column(1)):
-                        data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                        own = b"".join(map(ids.__getitem__, data.split())) + end
-                        raw.append(own)
-                        seen = np.unique(np.frombuffer(own, ids.kind)) & 0xFFFF
+                doc = b.column(0)
+                for w in tk.blocks(b.column(1)):
+                    flat, offs = ids.ids(w)
+                    edge = offs[w.first]  # where each document's ids begin and end
+                    size = np.diff(edge) + 1
+                    out = np.empty(len(flat) + w.rows, ids.kind)
+                    last = edge[1:] + np.arange(w.rows)
+                    keep = np.ones(len(out), bool)
+                    keep[last] = False
+                    out[keep] = flat
+                    out[last] = end_id
+                    stops = np.append(0, np.cumsum(size))
+                    vec = np.zeros((w.rows, dims))
+                    for r in range(w.rows):
+                        spot = out[stops[r] : stops[r + 1]] & 0xFFFF
+                        flag[spot] = True
+                        seen = np.flatnonzero(flag)
+                        flag[spot] = False
                         vec[r] = table[seen].sum(0) / np.sqrt(len(seen))
-                    flat = 0.5 + 0.5 * np.tanh(vec * 0.6)
-                    spot = np.minimum((flat * (1 << bits)).astype(np.int64), (1 << bits) - 1)
-                    size = np.array([len(x) // ids.kind.itemsize for x in raw], np.int64)
+                    unit = 0.5 + 0.5 * np.tanh(vec * 0.6)
+                    cell = np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+                    raw = tk.binary_column(out.view(np.uint8), stops * ids.kind.itemsize)
                     yield pa.record_batch(
-                        [part.column(0), pa.array(hilbert(spot, bits)), pa.array(size), pa.array(raw, pa.binary())],
+                        [doc.slice(w.row0, w.rows), pa.array(hilbert(cell, bits)), pa.array(size), raw],
                         names=["doc_id", "curve_key", "doc_tokens", "ids"],
                     )
 
