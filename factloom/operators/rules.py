@@ -79,6 +79,12 @@ def weak_boundary(f: Facts) -> DataFrame:
     return lying.union(finding(loose, text("parameter %s is %s at a public boundary", F.col("name"), F.col("value"))))
 
 
+@rule(3, "contract-implied-guard", scope="repo")
+def needless_guard(f: Facts) -> DataFrame:
+    nullable = f("param", prod=False).where(F.col("value").rlike("None|Optional") | (F.element_at("items", 2) == "None")).select("symbol", F.col("name").alias("value"))
+    return finding(f.sites("needless-guard").join(nullable, ["symbol", "value"], "left_anti"), text("what is guarded tolerates an empty %s", F.col("value")))
+
+
 @rule(6, "dishonest-accessor", scope="repo", engine="WP")
 def dishonest_accessor(f: Facts) -> DataFrame:
     writes = f("global").select("symbol", F.col("name").alias("g")).distinct()
@@ -140,6 +146,13 @@ def repeated_lambda(f: Facts) -> DataFrame:
     return finding(rows.where(F.col("k") >= COPIES).select("value", "k", "at.*"), text("one lambda %d times", F.col("k")), F.col("value"), F.col("k"))
 
 
+@rule(21, "distributed-invariant")
+def invariant(f: Facts) -> DataFrame:
+    rows = f("decision").withColumn("owner", F.regexp_replace("symbol", r"\.[^.]*$", ""))
+    many = rows.groupBy("owner", "name").agg(F.countDistinct("symbol").alias("k"), F.min(F.struct("symbol", "rel", "line", "col")).alias("at"))
+    return finding(many.where(F.col("k") >= COPIES).select("name", "k", "at.*"), text("decided in %d methods: %s", F.col("k"), F.col("name")), F.col("name"), F.col("k"))
+
+
 @rule(23, "cognitive-complexity", "report")
 def complexity(f: Facts) -> DataFrame:
     return finding(f.functions(prod=False).where(F.col("n") > COMPLEXITY_LIMIT), text("cognitive complexity %d", F.col("n")), F.lit("complexity"), F.col("n"))
@@ -228,6 +241,24 @@ def topology(f: Facts) -> DataFrame:
     return finding(hit, F.concat(F.lit("modules import each other: "), owner_list(F.col("members"))), kind, F.size("members"))
 
 
+@rule(37, "speculative-generality", scope="repo", engine="WP")
+def speculative(f: Facts) -> DataFrame:
+    last = F.element_at(F.split("name", "\\."), -1)
+    calls = f("call").select(last.alias("fn"), "n", "items")
+    once = f.functions().groupBy("name").agg(F.count("*").alias("d")).where("d = 1").select(F.col("name").alias("fn"))
+    given = f("param").where((F.element_at("items", 2) != "") & (F.element_at("items", 1) == "positional"))
+    given = given.withColumn("fn", F.element_at(F.split("symbol", "\\."), -1)).withColumn("place", F.col("n")).drop("n", "items").join(once, "fn", "left_semi")
+    met = given.join(calls.withColumnRenamed("n", "args"), "fn")
+    named = F.exists("items", lambda x: x.startswith(F.concat(F.col("name"), F.lit("="))) | x.startswith("**") | x.startswith("*"))
+    said = met.withColumn("said", (F.col("args") > F.col("place")) | named)
+    idle = said.groupBy("rel", "line", "col", "symbol", "name").agg(F.count("*").alias("k"), F.bool_or("said").alias("any")).where(~F.col("any") & (F.col("k") >= COPIES))
+    unused = finding(idle, text("no call overrides the default of %s", F.col("name")), F.lit("never-overridden"), F.col("k"))
+    base = f("class").where(F.exists("items", lambda x: x.rlike("(^|\\.)(ABC|Protocol)(\\[|$)")))
+    subs = f("class", prod=False).select(F.explode("items").alias("b"), F.col("symbol").alias("sub")).select(F.element_at(F.split("b", "\\."), -1).alias("name"), "sub")
+    single = base.join(subs.groupBy("name").agg(F.countDistinct("sub").alias("k")).where("k = 1"), "name")
+    return unused.union(finding(single, text("%s has one implementation", F.col("name")), F.lit("single-implementation")))
+
+
 @rule(38, "value-duplication", scope="repo", engine="IDX")
 def duplicated_values(f: Facts) -> DataFrame:
     rows = f("literal")
@@ -344,6 +375,31 @@ def test_only(f: Facts) -> DataFrame:
     return finding(defs.join(seen.where("only").select("name"), "name", "left_semi"), text("%s is used by tests only", F.col("name")), F.lit("test-only"))
 
 
+@rule(57, "dead-key", scope="repo", engine="WP")
+def dead_key(f: Facts) -> DataFrame:
+    other = f("plain-return").select("symbol").distinct()
+    shapes = f("record").where(F.col("name") != "").join(other, "symbol", "left_anti")
+    keys = shapes.groupBy("symbol").agg(F.min(F.struct("rel", "line", "col")).alias("at"), F.collect_list("items").alias("all"))
+    on_all = F.aggregate("all", F.element_at("all", 1), lambda a, x: F.array_intersect(a, x))
+    rows = keys.select("symbol", "at.*", F.explode(on_all).alias("key"))
+    read = f("key-read", prod=False).select(F.col("name").alias("key")).distinct()
+    # whoever unpacks or dumps a record reads keys that no name shows
+    open_ = f("call", prod=False).where(F.col("name").rlike(r"(^|\.)(items|values|keys|dumps|dump)$") | F.exists("items", lambda x: x.startswith("**"))).select("module").distinct()
+    last = F.element_at(F.split("symbol", "\\."), -1)
+    used = f("call", prod=False).select(F.element_at(F.split("name", "\\."), -1).alias("fn"), "module")
+    leaks = used.join(open_, "module", "left_semi").select("fn").distinct()
+    closed = rows.withColumn("fn", last).join(used.select("fn").distinct(), "fn", "left_semi").join(leaks, "fn", "left_anti")
+    return finding(closed.join(read, "key", "left_anti"), text("key %s is written and never read", F.col("key")), F.col("key"))
+
+
+@rule(59, "cost-docstring", scope="repo")
+def cost_docstring(f: Facts) -> DataFrame:
+    spends = f("call").where(F.col("name").rlike(r"^(subprocess|requests|httpx|urllib|boto3|socket)\.")).select("symbol").distinct()
+    told = f("docstring").where(F.lower("value").rlike("cost|slow|network|request|process|seconds|expensive")).select("symbol")
+    heavy = f.functions().where((F.col("end_line") - F.col("line") + 1 >= 30) & ~F.col("name").startswith("_"))
+    return finding(heavy.join(spends, "symbol", "left_semi").join(told, "symbol", "left_anti"), text("%s spends outside the process without saying so", F.col("name")), F.lit("cost"))
+
+
 @rule(60, "dead-by-graph", "report", "repo", "WP")
 def dead_by_graph(f: Facts) -> DataFrame:
     last = F.element_at(F.split("name", "\\."), -1)

@@ -278,6 +278,8 @@ class _File(ast.NodeVisitor):
             self.put("site", node, "dynamic-import", name)
         if name.endswith("sleep") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, (int, float)) and node.args[0].value > 0:
             self.put("site", node, "sleep", name)
+        if name.endswith(".get") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
+            self.put("key-read", node, node.args[0].value)
         if self.loops and name in ("re.compile", "re.match", "re.search", "re.sub", "copy.deepcopy", "open", "subprocess.run"):
             self.put("site", node, "costly-in-loop", name, self.loops)
         self.generic_visit(node)
@@ -347,7 +349,30 @@ class _File(ast.NodeVisitor):
             self.put("verdict", node, "raises")
         self.generic_visit(node)
 
+    def visit_Return(self, node: ast.Return) -> None:
+        v = node.value
+        if isinstance(v, ast.Dict) and v.keys and all(isinstance(k, ast.Constant) and isinstance(k.value, str) for k in v.keys):
+            self.put("record", node, self.names[-1] if self.names else "", items=sorted(k.value for k in v.keys))
+        else:
+            self.put("plain-return", node)
+        self.generic_visit(node)
+
+    def visit_Subscript(self, node: ast.Subscript) -> None:
+        if isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
+            self.put("key-read" if isinstance(node.ctx, ast.Load) else "key-write", node, node.slice.value)
+        self.generic_visit(node)
+
     def visit_If(self, node: ast.If) -> None:
+        if isinstance(node.test, ast.Name) and not node.orelse and len(node.body) == 1:
+            inner, own = node.body[0], node.test.id
+            loops = isinstance(inner, ast.For) and isinstance(inner.iter, ast.Name) and inner.iter.id == own
+            call = inner.value if isinstance(inner, ast.Expr) else None
+            tolerant = isinstance(call, ast.Call) and isinstance(call.func, ast.Attribute) and isinstance(call.func.value, ast.Name)
+            if loops or (tolerant and call.func.value.id == own and call.func.attr in ("sort", "clear", "reverse", "update")):
+                self.put("site", node, "needless-guard", own)
+        text = ast.unparse(node.test)
+        if "self." in text and size(node.test) + 1 >= 5:
+            self.put("decision", node, text)
         guard = ast.unparse(node.test) in ("TYPE_CHECKING", "typing.TYPE_CHECKING")
         self.typed += guard
         self.generic_visit(node)

@@ -7,6 +7,7 @@ from factloom.sources.python_facts import COLUMNS, SCHEMA, complexity, facts_of,
 
 CASES = {
     1: {"api.py": "def load(n: int = None):\n    return n\n"},
+    3: {"m.py": "def f(items: list):\n    if items:\n        items.sort()\n"},
     6: {"m.py": "def get_x():\n    global x\n    x = 1\n    return x\n"},
     7: {"m.py": 'def f(a):\n    """The caller must close a."""\n    return a\n'},
     9: {"m.py": "".join(f"def f{k}():\n    global n\n    n = {k}\n" for k in range(3))},
@@ -15,6 +16,7 @@ CASES = {
     14: {"m.py": "".join(f"def f{k}(host, port, user):\n    return {k}\n" for k in range(3))},
     18: {"m.py": "def f():\n    # Step 1: read\n    a = 1\n    # Step 2: write\n    return a\n"},
     20: {"m.py": "a = sorted(x, key=lambda t: t.a + t.b)\n" * 3},
+    21: {"m.py": "class C:\n" + "".join(f"    def f{k}(self):\n        if self.a and self.b > 3:\n            return {k}\n" for k in range(3))},
     23: {"m.py": "def f(a):\n" + "".join("    " * (k + 1) + f"if a > {k}:\n" for k in range(6)) + "    " * 7 + "return a\n"},
     24: {"m.py": "def f(a, n):\n    return getattr(a, 'x' + n)\n"},
     26: {"m.py": "from os import *\n"},
@@ -23,6 +25,7 @@ CASES = {
     33: {"m.py": "def f(a) -> int:\n    if a:\n        return 1\n    return None\n"},
     34: {"m.py": "def f():\n    try:\n        g()\n    except Exception:\n        pass\n"},
     35: {"p/__init__.py": "", "p/a.py": "import p.b\n", "p/b.py": "import p.a\n"},
+    37: {"m.py": "def f(a, b=1):\n    return a + b\n\n\n" + "f(1)\n" * 3},
     38: {f"{n}.py": "LIMITS = (10, 20, 30, 40)\n" for n in "abc"},
     39: {"m.py": 'def load_user(a):\n    """Load the user."""\n    return a\n'},
     40: {"m.py": "def is_open(a) -> int:\n    return a\n"},
@@ -37,6 +40,8 @@ CASES = {
     54: {"m.py": "".join(f"def f{k}(a):\n    if a.kind == 'red':\n        return 1\n    if a.kind == 'blue':\n        return 2\n" for k in range(3))},
     55: {"m.py": "def f(a, b, c, d, e):\n    return a\n"},
     56: {"m.py": "def helper():\n    return 1\n", "tests/test_m.py": "from m import helper\ndef test_a():\n    assert helper() == 1\n"},
+    57: {"m.py": "def f():\n    return {'a': 1, 'b': 2}\n\n\nx = f()\nprint(x['a'])\n"},
+    59: {"m.py": "import subprocess\n\n\ndef f(a):\n" + "    a += 1\n" * 30 + "    subprocess.run(a)\n"},
     60: {"m.py": "def job():\n    return 1\n\n\nJOBS = [job]\n"},
 }
 CLEAN = {"ok.py": '"""A module."""\n\n\ndef double(value: int) -> int:\n    """Twice the value given."""\n    return value * 2\n\n\nprint(double(2))\n'}
