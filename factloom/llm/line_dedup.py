@@ -5,9 +5,11 @@ earliest place (document id, then line number).  A distinct line of ``l`` code
 points is cut into ``edits + 1`` segments; a line within ``edits`` of it and at
 most that much longer must hold one of them at one of a few shifted places, so
 the longer line probes an index keyed by (length, segment number, segment text).
-Keys are 64-bit hashes: texts do not travel with them.  The candidates' texts are
-fetched through a filter of fixed size and verified by Spark's thresholded, hence
-banded, edit distance.
+Keys are 64-bit hashes: texts do not travel with them.  Only the texts of lines
+that share a key with another one are fetched, through a filter of fixed size.
+Their pairs are kept if the counts of some letters differ by no more than the
+edits can explain, and verified by Spark's thresholded, hence banded, edit
+distance.
 
 A line goes if it is not the earliest of its equals or if some earlier line is
 within ``edits`` of it.  Lines below ``near_chars`` code points are only compared
@@ -20,7 +22,7 @@ lines all go becomes the empty text; further columns are untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -45,18 +47,38 @@ def index_keys(line: str, length: str, edits: int) -> list[str]:
     ]
 
 
+def _shifts(i: int, d: int, edits: int) -> range:
+    """Shifts of segment i of a line that is d shorter: as many as errors can
+    precede it, given the errors that must follow."""
+    return range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
+
+
 def probe_keys(line: str, length: str, edits: int) -> list[str]:
-    """Where a segment of a line that is 0..edits shorter can lie in this one: as
-    many shifts as errors can precede it, given the errors that must follow."""
+    """Keys of the places where a segment of a line that is 0..edits shorter can
+    lie in this one."""
     out = []
     for d in range(edits + 1):
         short = f"({length} - {d})"
         for i, (at, n) in enumerate(segments(short, edits + 1)):
-            lo, hi = max(-i, d - (edits - i)), min(i, d + (edits - i))
-            out += [f"xxhash64({short}, {i}, substring({line}, {at} + {s} + 1, {n}))" for s in range(lo, hi + 1)]
+            out += [f"xxhash64({short}, {i}, substring({line}, {at} + {s} + 1, {n}))" for s in _shifts(i, d, edits)]
     return out
 
 
+LETTERS = "etnairohsd"
+
+
+def letter_counts(line: str) -> str:
+    """How often each of a few letters occurs, six bits a letter, in one long."""
+    one = "least(octet_length({0}) - octet_length(replace({0}, '{1}', '')), 63)"
+    return " + ".join(f"shiftleft(cast({one.format(line, x)} as bigint), {6 * k})" for k, x in enumerate(LETTERS))
+
+
+def letters_apart(a: str, b: str) -> str:
+    """Total difference of letter counts: an edit changes it by two at most."""
+    part = "((shiftright({0}, {1})) & 63)"
+    return " + ".join(f"abs({part.format(a, 6 * k)} - {part.format(b, 6 * k)})" for k in range(len(LETTERS)))
+
+
 class SeenBits:
     """A fixed-size filter of hash keys as a constant array of longs."""
 
@@ -112,25 +134,41 @@ class LineDedup:
 
     def _near(self, lines: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
         """(k, k2) of distinct lines to which an earlier one is near."""
+        own = ", ".join(index_keys("line", "size", self.edits))
+        asks = ", ".join(probe_keys("line", "size", self.edits))
+        own = ", ".join(index_keys("line", "size", self.edits))
+        asks = ", ".join(probe_keys("line", "size", self.edits))
         keyed = lines.where(F.col("size") >= self.near_chars).select(
-            "k", "k2", "size", "doc", "pos", F.expr(f"array({', '.join(index_keys('line', 'size', self.edits))})").alias("own"),
-            F.expr(f"array({', '.join(probe_keys('line', 'size', self.edits))})").alias("asks"),
+            "k", "k2", "doc", "pos", F.expr(f"struct(array({own}) as own, array({asks}) as asks)").alias("keys")
         )
-        one = scratch.table(
-            keyed.groupBy("k", "k2").agg(F.min_by(F.struct("own", "asks"), F.struct("doc", "pos")).alias("a")).select("k", "k2", "a.own", "a.asks"), "keys"
+        one = keyed.groupBy("k", "k2").agg(F.min_by("keys", F.struct("doc", "pos")).alias("keys"))
+        one = scratch.table(one.select("k", "keys.*"), "keys")
+        scratch.release()
+        # n is the probe's number, -1 for an index entry
+        index = one.select("k", F.lit(-1).alias("n"), F.explode("own").alias("key"))
+        probe = one.select("k", F.posexplode("asks").alias("n", "key"))
+        by_key = Window.partitionBy("key")
+        met = index.union(probe.select("k", "n", "key")).select(
+            "k", "n", "key", F.min("k").over(by_key).alias("lo"), F.max("k").over(by_key).alias("hi"), F.min("n").over(by_key).alias("first_n")
         )
-        index = one.select(F.col("k").alias("a"), F.explode("own").alias("key"))
-        probe = one.select(F.col("k").alias("b"), F.explode("asks").alias("key"))
-        pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.table(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
+        met = scratch.table(met.where("lo <> hi and first_n = -1").select("k", "n", "key"), "met")
+        scratch.release()
+        ends = met.select("k").distinct()
         seen = SeenBits(ends, "k", self.filter_bits)
         some = lines.where(F.col("size") >= self.near_chars).where(seen.maybe("k")).select("k", "k2", "line")
         texts = some.join(ends, "k", "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"))
-        texts = scratch.table(texts.join(distinct.select("k", "k2", "first"), ["k", "k2"]), "texts")
-        left = texts.select(F.col("k").alias("a"), F.struct("k", "k2", "line", "first").alias("x"))
-        right = texts.select(F.col("k").alias("b"), F.struct("k", "k2", "line", "first").alias("y"))
-        both = pairs.join(left, "a").join(right, "b")
+        texts = texts.join(distinct.select("k", "k2", "first"), ["k", "k2"])
+        texts = scratch.table(texts.withColumn("letters", F.expr(letter_counts("line"))), "texts")
+        marked = met.join(texts.select("k", "letters").distinct(), "k")
+        left = marked.where("n = -1").select(F.col("k").alias("a"), F.col("letters").alias("la"), "key")
+        right = marked.where("n >= 0").select(F.col("k").alias("b"), F.col("letters").alias("lb"), "n", "key")
+        # keys of lines of one length find each pair from both sides: the smaller hash is enough
+        level = sum(len(_shifts(i, 0, self.edits)) for i in range(self.edits + 1))
+        once = F.when(F.col("n") < level, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        found = left.join(right, "key").where(once).where(f"{letters_apart('la', 'lb')} <= {2 * self.edits}")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        whole = F.struct("k", "k2", "line", "first")
+        both = pairs.join(texts.select(F.col("k").alias("a"), whole.alias("x")), "a").join(texts.select(F.col("k").alias("b"), whole.alias("y")), "b")
         near = both.where(F.levenshtein("x.line", "y.line", self.edits) >= 0)
         late = F.when(F.col("x.first") > F.col("y.first"), F.struct("x.k", "x.k2")).otherwise(F.struct("y.k", "y.k2"))
         return near.select(late.alias("l")).select("l.k", "l.k2").distinct()
