@@ -10,8 +10,8 @@ as sorted 64-bit hashes.
 A fingerprint holds one 32-bit hash for each of several seeded random subsets of
 the lexicon, thinned at different rates: the hash of the document's distinct
 terms in that subset, taken in sorted order.  Equal texts have equal fingerprints.
-The likeness of two fingerprints is the share of subsets with equal hashes among
-those in which either holds a term; without any it is 1 for equal term sets'
+The likeness of two fingerprints is the share of subsets with equal hashes,
+weighted by thinness, among those in which either holds a term; without any it is 1 for equal term sets'
 stand-ins (the last hash, over all terms) and else 0.
 
 Edge cases: a null text is an empty one; texts without lexicon terms have empty
@@ -75,6 +75,7 @@ class IMatch:
 
     def __init__(self, lexicon: np.ndarray, rates: tuple[int, ...], each: int, seed: int):
         self.lexicon, self.rates, self.each, self.seed = lexicon, rates, each, seed
+        self.weights = np.repeat(np.array(rates, float), each)
 
     def prints(self, texts: pa.Array) -> np.ndarray:
         """One row of 32-bit hashes per text: the subsets', then that of all terms."""
@@ -114,12 +115,12 @@ def _fold(h: np.ndarray, doc: np.ndarray, rows: int, salt: int) -> np.ndarray:
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal subset hashes among subsets where either is not empty."""
-    same, held = a == b, (a != EMPTY) | (b != EMPTY)
-    held[:, -1] = False
-    n = held.sum(1)
-    return np.where(n > 0, (same & held).sum(1) / np.maximum(n, 1), (a[:, -1] == b[:, -1]).astype(float))
+def likeness(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted share of equal subset hashes among subsets where either is not
+    empty.  Thin subsets weigh more: one term changes a thick one."""
+    same, held = a[:, :-1] == b[:, :-1], (a[:, :-1] != EMPTY) | (b[:, :-1] != EMPTY)
+    n = held @ weights
+    return np.where(n > 0, ((same & held) @ weights) / np.maximum(n, 1), (a[:, -1] == b[:, -1]).astype(float))
 
 
 def _hex(prints: np.ndarray) -> list[str]:
@@ -147,8 +148,8 @@ def _edits(model: IMatch):
                 pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited]),
                 pa.array(_hex(p)),
                 pa.array(_hex(e)),
-                pa.array(likeness(p, e)),
-                pa.array(likeness(p, q)),
+                pa.array(likeness(p, e, model.weights)),
+                pa.array(likeness(p, q, model.weights)),
             ],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
@@ -179,8 +180,8 @@ class Fingerprinter:
         self,
         low: float = 0.0005,
         high: float = 0.2,
-        rates: tuple[int, ...] = (4, 16, 64, 256),
-        each: int = 8,
+        rates: tuple[int, ...] = (16, 64, 256, 1024),
+        each: int = 12,
         seed: int = 5,
         most_terms: int = 4_000_000,
     ):
