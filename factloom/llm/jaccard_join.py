@@ -334,7 +334,14 @@ class JaccardJoin:
 
 def keep_one(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:
     """docs without all but one document of each near-duplicate class: the one
-    with the smallest id stays.  Rows with empty sets stay."""
-    classes = (join or JaccardJoin()).classes(docs)
+    with the smallest id stays, and of rows that repeat its id and text one.
+    Rows with empty sets stay."""
+    found = (join or JaccardJoin()).classes(docs)
+    classes = Scratch(docs.sparkSession, "keep").table(found.where("n_shingles > 0"), "classes")
     gone = classes.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).drop("__t")
+    return left.join(again, "doc_id", "left_anti").unionByName(once)

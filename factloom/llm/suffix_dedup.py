@@ -164,6 +164,7 @@ class SuffixDedup:
         cores = src.select("text").mapInArrow(_core_rows(self.reach, self.gram, self.core), "core long, n long")
         many = cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
         seen = bitfilter.build(many, "core", self.filter_bits)
+        scratch.release()
         spec = "core long, doc_id long, pos long, right binary, left binary"
         kept = scratch.table(src.mapInArrow(_suffix_rows(self.reach, self.gram, self.core, self.ahead, seen), spec), "suffixes")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -179,7 +180,9 @@ class SuffixDedup:
         own = "core long, doc_id long, lo long, hi long, mate long, pos long"
         inner = found.where("edge < 0").select("core", "doc_id", "lo", "hi", "mate", "pos")
         both = inner.union(spark.createDataFrame(cross, own)) if cross else inner
-        firsts = both.groupBy("core").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+        # written first, so that the join reads two plain shuffles and Spark can split a hot core
+        firsts = scratch.table(both.groupBy("core").agg(F.min(F.struct("doc_id", "pos")).alias("f")), "firsts")
+        scratch.release()
         return both.join(firsts, "core").select("doc_id", "lo", "hi", "mate", (F.struct("doc_id", "pos") == F.col("f")).alias("first"))
 
     def report(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,6 +131,11 @@ def test_keep_one(docs, rows):
     assert left == {d for d, _, c in classes(rows, 4, 85) if d == c}
 
 
+def test_keep_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")] * 4 + [(2, "a b c d e f g"), (3, "x"), (4, None), (4, None), (None, "q r s")], "doc_id long, text string")
+    assert sorted((r.doc_id for r in keep_one(docs).collect()), key=str) == [1, 3, 4, 4, None]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
