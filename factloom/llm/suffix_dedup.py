@@ -83,14 +83,16 @@ def _suffix_rows(reach: int, gram: int, core: int, ahead: int, seen: np.ndarray)
                 at, h = at[on], h[on]
                 if not len(at):
                     continue
-                first, last = w.first[w.doc[at]], w.first[w.doc[at] + 1]
                 short = (w.hash >> tk.U(32)).astype(">u4").view(np.uint8)
-                right = tk.gather(short, at * 4, np.minimum(at + ahead, last) * 4)
-                left = tk.gather(short, np.maximum(at - back, first) * 4, at * 4)
-                yield pa.record_batch(
-                    [tk.signed(h), pa.array(ids[w.row0 + w.doc[at]]), pa.array(at - first), tk.binary_column(*right), tk.binary_column(*left)],
-                    names=["core", "doc_id", "pos", "right", "left"],
-                )
+                for k in range(0, len(at), 2000):  # a position takes some hundred bytes: a few at a time
+                    p, own = at[k : k + 2000], h[k : k + 2000]
+                    first, last = w.first[w.doc[p]], w.first[w.doc[p] + 1]
+                    right = tk.gather(short, p * 4, np.minimum(p + ahead, last) * 4)
+                    left = tk.gather(short, np.maximum(p - back, first) * 4, p * 4)
+                    yield pa.record_batch(
+                        [tk.signed(own), pa.array(ids[w.row0 + w.doc[p]]), pa.array(p - first), tk.binary_column(*right), tk.binary_column(*left)],
+                        names=["core", "doc_id", "pos", "right", "left"],
+                    )
 
     return run
 

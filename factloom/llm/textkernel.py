@@ -138,7 +138,9 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     size = end - start
     offs = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=offs[1:])
-    at = np.arange(offs[-1]) + np.repeat(start - offs[:-1], size)
+    kind = np.int32 if max(len(data), int(offs[-1])) < 1 << 31 else np.int64
+    at = np.repeat((start - offs[:-1]).astype(kind), size)
+    at += np.arange(offs[-1], dtype=kind)
     return data[at], offs
 
 
