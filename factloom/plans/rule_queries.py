@@ -20,5 +20,6 @@ FILES = [
 def audit_inline(spark, sf):
     files = spark.createDataFrame(FILES, "rel string, text string")
     precision = spark.createDataFrame([("49", 44, 46), ("35", 5, 5), ("12", 66, 80)], "rule string, tp long, n long")
-    out = audit(files, precision=precision).ranked
+    # the rules that this small repository can set off; Spark takes long to compile all
+    out = audit(files, precision=precision, only=[1, 12, 24, 32, 35, 40, 44, 47, 49, 50, 55]).ranked
     return out.select("rule", "slug", "rel", "line", "symbol", "message", F.round("p_real", 6).alias("p_real"), "within")
