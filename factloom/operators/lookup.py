@@ -48,7 +48,7 @@ def pattern_semi(df: DataFrame, name: str, patterns: DataFrame) -> DataFrame:
         return df.limit(0)
     rows = df.withColumn("__row", F.monotonically_increasing_id())
     cut = rows.select("__row", F.col(name).alias("__n"), F.explode(F.array(*(F.substring(F.col(name), 1, n) for n in sorted(sizes)))).alias("prefix"))
-    hit = cut.join(F.broadcast(patterns) if len(sizes) < 64 else patterns, "prefix")
+    hit = cut.join(patterns, "prefix")
     hit = hit.where(F.col("__n").endswith(F.col("suffix")) & (F.length("__n") >= F.length("prefix") + F.length("suffix")))
     return rows.join(hit.select("__row").distinct(), "__row", "left_semi").drop("__row")
 
