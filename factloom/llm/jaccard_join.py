@@ -95,7 +95,7 @@ def _histogram(n: int, bits: int):
 
 def _heavy(docs: DataFrame, n: int, bits: int, sigmas: float, scratch: Scratch) -> np.ndarray:
     """Heavy cells of the shingle histogram, as a bitmap of 2**bits bits."""
-    cells = docs.select("text").mapInArrow(_histogram(n, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = docs.select("text").mapInArrow(tk.tidy(_histogram(n, bits)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     rows = scratch.table(cells, "cells")
     size = 1 << bits
     s = rows.agg(F.sum("n").alias("s"), F.percentile_approx("n", 0.5).alias("m")).first()
@@ -212,7 +212,7 @@ class JaccardJoin:
         heavy = _heavy(docs, self.shingle, self.sketch_bits, self.sigmas, scratch)
         rows = scratch.table(
             docs.mapInArrow(
-                _postings(self.shingle, self.percent, self.sketch_bits, heavy), "doc_id long, size long, set_id long, often long, keys array<long>"
+                tk.tidy(_postings(self.shingle, self.percent, self.sketch_bits, heavy)), "doc_id long, size long, set_id long, often long, keys array<long>"
             ),
             "rows",
         )
@@ -318,7 +318,7 @@ class JaccardJoin:
             sets.join(wanted, "set_id", "left_semi").select("set_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "need"
         )
         bits = bitfilter.build(need, "doc_id", self.filter_bits)
-        both = docs.mapInArrow(_sets(self.shingle, bits), "set_id long, shingles binary")
+        both = docs.mapInArrow(tk.tidy(_sets(self.shingle, bits)), "set_id long, shingles binary")
         return scratch.table(both.join(need.select("set_id"), "set_id", "left_semi"), "content")
 
     def _check(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -329,7 +329,7 @@ class JaccardJoin:
         a = content.select(F.col("set_id").alias("u"), F.col("shingles").alias("x"))
         b = content.select(F.col("set_id").alias("v"), F.col("shingles").alias("y"))
         both = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y")
-        return both.mapInArrow(_verify(self.percent), "u long, v long").distinct()
+        return both.mapInArrow(tk.tidy(_verify(self.percent)), "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:

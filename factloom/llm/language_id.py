@@ -207,7 +207,7 @@ class LanguageIdentifier:
         limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * 2**32))) for k, v in share.items()))
         draw = F.xxhash64(F.lit(7), F.col(key).cast("string")).bitwiseAND(F.lit(2**32 - 1))
         sample = rows.where(draw < limit[F.col(lang)]).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-        parts = sample.repartition(12).mapInArrow(_counts(names), "lang long, counts binary").collect()
+        parts = sample.repartition(12).mapInArrow(tk.tidy(_counts(names)), "lang long, counts binary").collect()
         counts = np.zeros((len(names), CELLS))
         for r in parts:
             counts[r["lang"]] += np.frombuffer(bytes(r["counts"]), np.int64)
@@ -227,7 +227,7 @@ class LanguageIdentifier:
             at = df.columns.index(text)
         else:
             df = rows.select(*cols, F.col(text).alias("__text"))
-        return df.mapInArrow(_predict(self.model, self.gap, at, n), schema)
+        return df.mapInArrow(tk.tidy(_predict(self.model, self.gap, at, n)), schema)
 
 
 def fold(key: str = "doc_id") -> Column:

@@ -250,7 +250,7 @@ class HilbertPacker:
     def encode(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, curve_key, doc_tokens, ids) of every document."""
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        return src.mapInArrow(self._encode(), "doc_id long, curve_key long, doc_tokens long, ids binary")
+        return src.mapInArrow(tk.tidy(self._encode()), "doc_id long, curve_key long, doc_tokens long, ids binary")
 
     def pack(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per piece: doc_id, start, length, ids (little-endian unsigned
@@ -264,7 +264,7 @@ class HilbertPacker:
 
         wide = Tokenizer.from_file(self.tokenizer).get_vocab_size() > 1 << 16
         return along.select("doc_id", "ids").mapInArrow(
-            self._lay(wide),
+            tk.tidy(self._lay(wide)),
             "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
         )
 

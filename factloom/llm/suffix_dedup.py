@@ -163,17 +163,17 @@ class SuffixDedup:
         spark = docs.sparkSession
         scratch = Scratch(spark, "suffixes")
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        cores = src.select("text").mapInArrow(_core_rows(self.reach, self.gram, self.core), "core long, n long")
+        cores = src.select("text").mapInArrow(tk.tidy(_core_rows(self.reach, self.gram, self.core)), "core long, n long")
         many = cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
         seen = bitfilter.build(many, "core", self.filter_bits)
         scratch.release()
         spec = "core long, doc_id long, pos long, right binary, left binary"
-        kept = scratch.table(src.mapInArrow(_suffix_rows(self.reach, self.gram, self.core, self.ahead, seen), spec), "suffixes")
+        kept = scratch.table(src.mapInArrow(tk.tidy(_suffix_rows(self.reach, self.gram, self.core, self.ahead, seen)), spec), "suffixes")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = ("right", "left", "doc_id", "pos")
         runs = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         spec = "core long, doc_id long, lo long, hi long, mate long, pos long, edge long, right binary, left binary"
-        found = scratch.table(runs.mapInArrow(_neighbours(self.least), spec), "neighbours")
+        found = scratch.table(runs.mapInArrow(tk.tidy(_neighbours(self.least)), spec), "neighbours")
         scratch.drop(kept)
         # the border rows: two for each task of the sort
         ends = found.where("edge >= 0").select("edge", "core", "doc_id", "pos", "right", "left").orderBy("edge").collect()

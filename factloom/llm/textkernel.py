@@ -8,13 +8,15 @@ document), which bounds memory whatever the batch size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U = np.uint64
 
 
@@ -154,3 +156,21 @@ def binary_column(raw: np.ndarray, offs: np.ndarray, text: bool = False) -> pa.A
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def tidy(run: Callable) -> Callable:
+    """run, and when a task ends, memory that allocators keep goes back to the
+    system: a Python worker outlives its tasks, and its executor's limit counts it."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
