@@ -1,20 +1,19 @@
 """Long repeated passages by a sparse, distributed suffix array.
 
-Suffixes are kept only at minimiser positions: the least-hashed ``gram``-word
-gram of every ``reach``-word window.  A passage of ``least`` words holds such a
-position within its first ``reach - gram + 1`` words, so from there at least
-``least - (reach - gram)`` words agree: the *core*.  A count of cores over all
-documents, put into a filter of fixed size, leaves the suffixes that can have a
-partner.  These are range-sorted by their words, neighbours are compared, and
-each agreement is extended to the right and to the left of its position; suffix
-entries carry the words that such an extension can need, as longer passages hold
-further positions and their spans merge.  Equal suffixes are told apart by
-document, so a group of copies of any size is spread over tasks, and a task
-streams its run; the two rows at each border between runs are compared at last.
-
-A span is repeated if it agrees with another place over ``least`` words or more.
-It is removed if its core also occurs at an earlier place (document id, then
-position): the first copy stays.
+A passage of ``least`` words or more is repeated if all its windows of ``least``
+words are, so suffixes are sorted and compared by their first ``least`` words
+only, and two stand together if and only if these agree.  Most need no sort: the
+least-hashed ``gram``-word gram of the first ``reach`` words of a window is its
+minimiser, and from there at least ``least - (reach - gram)`` words lie in the
+window: its *core*.  A count of cores over all documents, put into a filter of
+fixed size, leaves the suffixes that can have a partner.
+
+These are range-sorted by the hashes of core and of window, then by place
+(document id, then position), so a group of copies of any size is spread over
+tasks, and a task streams its run; the two rows at each border between runs are
+compared at last.  Every window meets all its copies, whatever else shares its
+core.  The core comes first in the order because windows that follow one another
+often share it: their finds become one span where they are made.
 
 Edge cases: null and empty texts, and texts shorter than ``least`` words, have no
 spans; rows with equal ids are treated as one document's places; a null id is
@@ -24,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +37,14 @@ from .scratch import Scratch
 from .substring_dedup import NO_ID, anchors
 
 
-def _positions(w: tk.Words, reach: int, gram: int, core: int) -> np.ndarray:
-    """Minimiser positions that have a whole core to their right."""
-    _, _, at = anchors(w, reach, gram)
-    at = np.unique(at)
-    end = at + core
-    ok = end <= len(w.hash)
-    at, end = at[ok], end[ok]
-    return at[w.doc[at] == w.doc[end - 1]]
+def _windows(w: tk.Words, reach: int, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows of ``least`` words inside one document, and
+    their minimiser positions."""
+    start, _, at = anchors(w, reach, gram)
+    ok = start + least <= len(w.hash)
+    start, at = start[ok], at[ok]
+    ok = w.doc[start] == w.doc[start + least - 1]
+    return start[ok], at[ok]
 
 
 def _range_hash(w: tk.Words, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -54,11 +54,13 @@ def _range_hash(w: tk.Words, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return tk.mix((total[hi] - total[lo]) * down[lo] + tk.U(97))
 
 
-def _core_rows(reach: int, gram: int, core: int):
+def _core_rows(reach: int, gram: int, least: int):
+    core = least - (reach - gram)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in tk.blocks(b.column(0)):
-                at = _positions(w, reach, gram, core)
+                at = np.unique(_windows(w, reach, gram, least)[1])
                 if len(at):
                     h, n = np.unique(_range_hash(w, at, at + core), return_counts=True)
                     yield pa.record_batch([tk.signed(h), pa.array(n)], names=["core", "n"])
@@ -66,96 +68,108 @@ def _core_rows(reach: int, gram: int, core: int):
     return run
 
 
-def _suffix_rows(reach: int, gram: int, core: int, ahead: int, seen: np.ndarray):
-    """Suffix entries: the words from the position on, then those before it,
-    nearest first, as big-endian 32-bit hashes so that bytes sort as words."""
-    back = reach - gram
+def _suffix_rows(reach: int, gram: int, least: int, seen: np.ndarray):
+    """Suffixes cut at ``least`` words, as the hashes of their core and of all
+    their words."""
+    core = least - (reach - gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for w in tk.blocks(b.column(1)):
-                at = _positions(w, reach, gram, core)
-                if not len(at):
-                    continue
+                start, at = _windows(w, reach, gram, least)
                 h = _range_hash(w, at, at + core)
                 on = bitfilter.test(seen, h)
-                at, h = at[on], h[on]
-                if not len(at):
-                    continue
-                short = (w.hash >> tk.U(32)).astype(">u4").view(np.uint8)
-                for k in range(0, len(at), 2000):  # a position takes some hundred bytes: a few at a time
-                    p, own = at[k : k + 2000], h[k : k + 2000]
-                    first, last = w.first[w.doc[p]], w.first[w.doc[p] + 1]
-                    right = tk.gather(short, p * 4, np.minimum(p + ahead, last) * 4)
-                    left = tk.gather(short, np.maximum(p - back, first) * 4, p * 4)
+                start, h = start[on], h[on]
+                full = _range_hash(w, start, start + least)
+                for k in range(0, len(start), 20000):
+                    p = start[k : k + 20000]
+                    doc = w.doc[p]
                     yield pa.record_batch(
-                        [tk.signed(own), pa.array(ids[w.row0 + w.doc[p]]), pa.array(p - first), tk.binary_column(*right), tk.binary_column(*left)],
-                        names=["core", "doc_id", "pos", "right", "left"],
+                        [tk.signed(h[k : k + 20000]), tk.signed(full[k : k + 20000]), pa.array(ids[w.row0 + doc]), pa.array(p - w.first[doc])],
+                        names=["core", "whole", "doc_id", "pos"],
                     )
 
     return run
 
 
-def _agree(a: bytes, b: bytes, backwards: bool = False) -> int:
-    """Equal words at the start (or end) of two word strings."""
-    n = min(len(a), len(b)) // 4
-    if not n:
-        return 0
-    if backwards:
-        x, y = np.frombuffer(a, "<u4")[::-1][:n], np.frombuffer(b, "<u4")[::-1][:n]
-    else:
-        x, y = np.frombuffer(a, "<u4", n), np.frombuffer(b, "<u4", n)
-    d = np.flatnonzero(x != y)
-    return int(d[0]) if len(d) else n
+SPANS = ["core", "doc_id", "lo", "hi", "mate", "later", "edge", "whole"]
 
 
-def compare(p: tuple, q: tuple, least: int) -> list[tuple]:
-    """Spans of two neighbouring suffixes (core, doc, pos, right, left), if they
-    agree over ``least`` words around their positions."""
-    r = _agree(p[3], q[3])
-    size = _agree(p[4], q[4], True)
-    if r == 0 or r + size < least:
-        return []
-    return [(x[0], x[1], x[2] - size, x[2] + r, y[1], x[2]) for x, y in ((p, q), (q, p))]
+def _spans(rows: np.ndarray, later: np.ndarray, mate: np.ndarray, least: int) -> pa.RecordBatch:
+    """Spans of windows (core, whole, doc, pos): those that follow one another in a
+    document, with one core, partner and flag, are one."""
+    order = np.lexsort((rows[3], later, mate, rows[2], rows[0]))
+    (core, _, doc, pos), later, mate = rows[:, order], later[order].astype(np.int64), mate[order]
+    cut = np.ones(len(pos), bool)
+    cut[1:] = (pos[1:] - pos[:-1] > 1) | (pos[1:] < pos[:-1])
+    for x in (core, doc, mate, later):
+        cut[1:] |= x[1:] != x[:-1]
+    lo = np.flatnonzero(cut)
+    hi = np.append(lo[1:], len(pos)) - 1
+    none = np.full(len(lo), -1)
+    return pa.record_batch([pa.array(c) for c in (core[lo], doc[lo], pos[lo], pos[hi] + least, mate[lo], later[lo], none, none)], names=SPANS)
 
 
 def _neighbours(least: int):
-    names = ["core", "doc_id", "lo", "hi", "mate", "pos", "edge", "right", "left"]
-    kinds = [pa.int64()] * 7 + [pa.binary()] * 2
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    """Spans of the windows that equal a neighbour in a sorted run; later tells
+    that the run holds an earlier place of theirs.  The first and the last row of a
+    run come besides, numbered by edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        last = None
-        for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if last is None:
-                    out.append((row[0], row[1], 0, 0, 0, row[2], 2 * part, row[3], row[4]))
-                elif last[3][:4] == row[3][:4]:
-                    out += [(*s, -1, None, None) for s in compare(last, row, least)]
-                last = row
-            if out:
-                yield batch(out)
-        if last is not None:
-            yield batch([(last[0], last[1], 0, 0, 0, last[2], 2 * part + 1, last[3], last[4])])
+        top = None
+        # the last row lacks its right neighbour: it waits, with its left one, for the next batch
+        rows, begin, late = np.zeros((4, 0), np.int64), 0, False
+        for b in itertools.chain(batches, (None,)):
+            if b is not None:
+                rows = np.concatenate([rows, [c.to_numpy(zero_copy_only=False) for c in b.columns]], axis=1)
+            n = rows.shape[1]
+            if not n:
+                continue
+            if top is None:
+                top = rows[:, 0].copy()
+            same = np.zeros(n + 1, bool)
+            same[1:n] = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+            moved = np.zeros(n, np.int64)
+            moved[1:] = same[1:n] & (rows[2:, 1:] != rows[2:, :-1]).any(axis=0)
+            group, moves = np.cumsum(~same[:n]), np.cumsum(moved)
+            later = (moves > moves[np.searchsorted(group, group)]) | (late & (group == 1))
+            doc = rows[2]
+            left, right = np.append(doc[:1], doc[:-1]), np.append(doc[1:], doc[-1:])
+            left, right = np.where(same[:n], left, doc), np.where(same[1:], right, doc)
+            mate = np.where(left != doc, left, right)
+            stop = n if b is None else n - 1
+            twin = np.flatnonzero((same[:n] | same[1:])[begin:stop]) + begin
+            if len(twin):
+                yield _spans(rows[:, twin], later[twin], mate[twin], least)
+            keep = max(stop - 1, 0)
+            late, begin = bool(later[keep]), int(stop > 0)
+            rows = rows[:, keep:].copy()
+        if top is not None:
+            edge = 2 * TaskContext.get().partitionId()
+            ends = [(x[0], x[2], x[3], x[3] + least, x[2], 0, edge + k, x[1]) for k, x in enumerate((top, rows[:, -1]))]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*ends, strict=True)], names=SPANS)
 
     return run
 
 
+def across(ends: list[tuple]) -> list[tuple]:
+    """Spans (core, doc, lo, hi, mate, later) of windows that equal one beyond the
+    border of their run; ends are first and last rows, run after run."""
+    out = []
+    for a, b in zip(ends[1::2], ends[2::2], strict=False):
+        if (a[0], a[7]) == (b[0], b[7]):
+            out += [(*a[:4], b[1], 0), (*b[:4], a[1], 1)]
+    return out
+
+
 class SuffixDedup:
     """Repeated passages of ``least`` words or more across all documents."""
 
     def __init__(self, least: int = 50, reach: int = 20, gram: int = 6, filter_bits: int = 26):
         self.least, self.reach, self.gram, self.filter_bits = least, reach, gram, filter_bits
-        self.core = least - (reach - gram)
-        # a position is followed by another one within reach words, so this much is enough to extend to it
-        self.ahead = least + reach
 
     def spans(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, lo, hi, mate, first): repeated word ranges at their suffixes;
@@ -163,29 +177,28 @@ class SuffixDedup:
         spark = docs.sparkSession
         scratch = Scratch(spark, "suffixes")
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        cores = src.select("text").mapInArrow(tk.tidy(_core_rows(self.reach, self.gram, self.core)), "core long, n long")
+        shape = (self.reach, self.gram, self.least)
+        cores = src.select("text").mapInArrow(tk.tidy(_core_rows(*shape)), "core long, n long")
         many = cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
         seen = bitfilter.build(many, "core", self.filter_bits)
         scratch.release()
-        spec = "core long, doc_id long, pos long, right binary, left binary"
-        kept = scratch.table(src.mapInArrow(tk.tidy(_suffix_rows(self.reach, self.gram, self.core, self.ahead, seen)), spec), "suffixes")
+        order = ("core", "whole", "doc_id", "pos")
+        spec = ", ".join(f"{c} long" for c in order)
+        kept = scratch.table(src.mapInArrow(tk.tidy(_suffix_rows(*shape, seen)), spec), "suffixes")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ("right", "left", "doc_id", "pos")
         runs = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        spec = "core long, doc_id long, lo long, hi long, mate long, pos long, edge long, right binary, left binary"
+        spec = ", ".join(f"{c} long" for c in SPANS)
         found = scratch.table(runs.mapInArrow(tk.tidy(_neighbours(self.least)), spec), "neighbours")
         scratch.drop(kept)
         # the border rows: two for each task of the sort
-        ends = found.where("edge >= 0").select("edge", "core", "doc_id", "pos", "right", "left").orderBy("edge").collect()
-        ends = [tuple(r) for r in ends]
-        cross = [s for a, b in zip(ends[1::2], ends[2::2], strict=False) for s in compare(a[1:], b[1:], self.least)]
-        own = "core long, doc_id long, lo long, hi long, mate long, pos long"
-        inner = found.where("edge < 0").select("core", "doc_id", "lo", "hi", "mate", "pos")
-        both = inner.union(spark.createDataFrame(cross, own)) if cross else inner
+        ends = [tuple(r) for r in found.where("edge >= 0").orderBy("edge").collect()]
+        cross = across(ends)
+        inner = found.where("edge < 0").select(*SPANS[:6])
+        both = inner.union(spark.createDataFrame(cross, inner.schema)) if cross else inner
         # written first, so that the join reads two plain shuffles and Spark can split a hot core
-        firsts = scratch.table(both.groupBy("core").agg(F.min(F.struct("doc_id", "pos")).alias("f")), "firsts")
+        firsts = scratch.table(both.groupBy("core").agg(F.min(F.struct("doc_id", "lo")).alias("f")), "firsts")
         scratch.release()
-        return both.join(firsts, "core").select("doc_id", "lo", "hi", "mate", (F.struct("doc_id", "pos") == F.col("f")).alias("first"))
+        return both.join(firsts, "core").select("doc_id", "lo", "hi", "mate", (F.struct("doc_id", "lo") == F.col("f")).alias("first"))
 
     def report(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per document with repeats: words in repeated passages, words

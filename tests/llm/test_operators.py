@@ -194,6 +194,44 @@ def test_suffix_dedup(docs, rows, none):
     assert SuffixDedup(50).report(none).count() == 0
 
 
+def repeats(rows, least=50):
+    """Brute force: words in repeated windows, and words in windows that have an
+    earlier place."""
+    places = {}
+    for d, t, *_ in rows:
+        w = words(t)
+        for i in range(len(w) - least + 1):
+            places.setdefault(tuple(w[i : i + least]), []).append((d, i))
+    every, gone = {}, {}
+    for at in places.values():
+        for d, i in at if len(at) > 1 else []:
+            every.setdefault(d, set()).update(range(i, i + least))
+            if (d, i) != min(at):
+                gone.setdefault(d, set()).update(range(i, i + least))
+    return every, gone
+
+
+def shared_cores(seed=5):
+    """Texts that share 36 to 60 words behind, or before, different others."""
+    rng = random.Random(seed)
+    some = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    out = []
+    for _ in range(6):
+        core, leads, tails = some(40), [some(20) for _ in range(4)], [some(20) for _ in range(4)]
+        for _ in range(25):
+            lead, tail = rng.choice(leads), rng.choice(tails)
+            out.append(some(5) + lead[rng.randint(0, 20) :] + core + tail[: rng.randint(0, 20)] + some(5))
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_suffix_dedup_frequent_cores(spark):
+    rows = shared_cores()
+    every, _ = repeats(rows)
+    got = {r.doc_id: r.n_repeated for r in SuffixDedup(50).report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: len(x) for d, x in every.items()}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
