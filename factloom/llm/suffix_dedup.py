@@ -15,6 +15,10 @@ compared at last.  Every window meets all its copies, whatever else shares its
 core.  The core comes first in the order because windows that follow one another
 often share it: their finds become one span where they are made.
 
+A window goes if an equal one lies at an earlier place (document id, then
+position), so whatever goes can be read at an earlier place.  Where windows
+overlap, a word goes if any of its windows does.
+
 Edge cases: null and empty texts, and texts shorter than ``least`` words, have no
 spans; rows with equal ids are treated as one document's places; a null id is
 later than all others; repeats inside one document count too; further columns are
@@ -172,8 +176,9 @@ class SuffixDedup:
         self.least, self.reach, self.gram, self.filter_bits = least, reach, gram, filter_bits
 
     def spans(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, lo, hi, mate, first): repeated word ranges at their suffixes;
-        first tells that no earlier place has the same core."""
+        """(doc_id, lo, hi, mate, first): repeated word ranges, of windows that
+        follow one another; first tells that their windows have no earlier place.
+        A window at a border of the sort can have a row for each side of it."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "suffixes")
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -195,10 +200,7 @@ class SuffixDedup:
         cross = across(ends)
         inner = found.where("edge < 0").select(*SPANS[:6])
         both = inner.union(spark.createDataFrame(cross, inner.schema)) if cross else inner
-        # written first, so that the join reads two plain shuffles and Spark can split a hot core
-        firsts = scratch.table(both.groupBy("core").agg(F.min(F.struct("doc_id", "lo")).alias("f")), "firsts")
-        scratch.release()
-        return both.join(firsts, "core").select("doc_id", "lo", "hi", "mate", (F.struct("doc_id", "lo") == F.col("f")).alias("first"))
+        return both.select("doc_id", "lo", "hi", "mate", (F.col("later") == 0).alias("first"))
 
     def report(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per document with repeats: words in repeated passages, words

@@ -232,6 +232,18 @@ def test_suffix_dedup_frequent_cores(spark):
     assert got == {d: len(x) for d, x in every.items()}
 
 
+def test_suffix_dedup_keeps_first_copies(spark):
+    rows = shared_cores(6)
+    n = len(rows)
+    rows += [(n + i, rows[i % 2][1]) for i in range(300)] + [(n + 300, f"{rows[3][1]} {rows[3][1]}"), (n + 301, "x y " * 200)]
+    every, gone = repeats(rows)
+    got = SuffixDedup(50).report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    whole = lambda ranges: {k for r in ranges for k in range(r.lo, r.hi)}
+    assert {r.doc_id: whole(r.passages) for r in got} == every
+    assert {r.doc_id: whole(r.gone) for r in got if r.gone} == gone
+    assert all(r.n_removed == len(whole(r.gone)) for r in got)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
