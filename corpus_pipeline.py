@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.jaccard_join import JaccardJoin, keep_one
 from factloom.llm.language_id import UNKNOWN, LanguageIdentifier
-from factloom.llm.line_dedup import LineDedup
 from factloom.llm.packing import HilbertPacker
-from factloom.llm.queries import mixture, word_bpe
+from factloom.llm.queries import every_line, mixture, word_bpe
 from factloom.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,7 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that an earlier document holds; a document left without any
     line goes."""
-    out = LineDedup().clean(docs).where("lines_kept > 0 or lines_dropped = 0")
+    out = every_line().clean(docs).where("lines_kept > 0 or lines_dropped = 0")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -12,8 +12,10 @@ edits can explain, and verified by Spark's thresholded, hence banded, edit
 distance.
 
 A line goes if it is not the earliest of its equals or if some earlier line is
-within ``edits`` of it.  Lines below ``near_chars`` code points are only compared
-for equality, those below ``exact_chars`` are never dropped.
+within ``edits`` of it; within one edit if the shorter has fewer than
+``short_chars`` code points, where two make another word.  Lines below
+``near_chars`` code points are only compared for equality, those below
+``exact_chars`` are never dropped.
 
 Edge cases: null and empty texts stay as they are; rows that repeat id and text
 keep and lose the same lines; null ids are later than all others; a text whose
@@ -64,6 +66,22 @@ def probe_keys(line: str, length: str, edits: int) -> list[str]:
     return out
 
 
+def mixed_keys(line: str, length: str, edits: int, short: int) -> list[str]:
+    """probe_keys of a line that is long enough for shorter lines of fewer than
+    ``short`` code points, which allow one edit; null where a place has no key."""
+    few, out = min(edits, 1), []
+    for d in range(edits + 1):
+        target = f"({length} - {d})"
+        own, less = (
+            [f"xxhash64({target}, {i}, substring({line}, {at} + {s} + 1, {n}))" for i, (at, n) in enumerate(segments(target, e + 1)) for s in _shifts(i, d, e)]
+            for e in (edits, few)
+        )
+        less = less if d <= few else []
+        for k, key in enumerate(own):
+            out.append(f"case when {target} >= {short} then {key} {f'else {less[k]}' if k < len(less) else ''} end")
+    return out
+
+
 LETTERS = "etnairohsd"
 
 
@@ -107,8 +125,9 @@ class SeenBits:
 class LineDedup:
     """Drops lines that an earlier line equals or nearly equals."""
 
-    def __init__(self, edits: int = 2, near_chars: int = 30, exact_chars: int = 12, filter_bits: int = 18):
+    def __init__(self, edits: int = 2, near_chars: int = 30, exact_chars: int = 12, filter_bits: int = 18, short_chars: int = 0):
         self.edits, self.near_chars, self.exact_chars, self.filter_bits = edits, near_chars, exact_chars, filter_bits
+        self.short_chars = short_chars
 
     def _lines(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         src = docs.where(F.col(text).isNotNull()).select(
@@ -134,19 +153,22 @@ class LineDedup:
 
     def _near(self, lines: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
         """(k, k2) of distinct lines to which an earlier one is near."""
-        own = ", ".join(index_keys("line", "size", self.edits))
-        asks = ", ".join(probe_keys("line", "size", self.edits))
-        own = ", ".join(index_keys("line", "size", self.edits))
-        asks = ", ".join(probe_keys("line", "size", self.edits))
+        own = f"array({', '.join(index_keys('line', 'size', self.edits))})"
+        asks = f"array({', '.join(probe_keys('line', 'size', self.edits))})"
+        few = min(self.edits, 1)
+        if self.short_chars:
+            own = f"if(size < {self.short_chars}, array({', '.join(index_keys('line', 'size', few))}), {own})"
+            mixed = ", ".join(mixed_keys("line", "size", self.edits, self.short_chars))
+            asks = f"if(size < {self.short_chars + self.edits}, array({mixed}), {asks})"
         keyed = lines.where(F.col("size") >= self.near_chars).select(
-            "k", "k2", "doc", "pos", F.expr(f"struct(array({own}) as own, array({asks}) as asks)").alias("keys")
+            "k", "k2", "doc", "pos", F.expr(f"struct({own} as own, {asks} as asks)").alias("keys")
         )
         one = keyed.groupBy("k", "k2").agg(F.min_by("keys", F.struct("doc", "pos")).alias("keys"))
         one = scratch.table(one.select("k", "keys.*"), "keys")
         scratch.release()
         # n is the probe's number, -1 for an index entry
         index = one.select("k", F.lit(-1).alias("n"), F.explode("own").alias("key"))
-        probe = one.select("k", F.posexplode("asks").alias("n", "key"))
+        probe = one.select("k", F.posexplode("asks").alias("n", "key")).where("key is not null")
         by_key = Window.partitionBy("key")
         met = index.union(probe.select("k", "n", "key")).select(
             "k", "n", "key", F.min("k").over(by_key).alias("lo"), F.max("k").over(by_key).alias("hi"), F.min("n").over(by_key).alias("first_n")
@@ -169,7 +191,8 @@ class LineDedup:
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         whole = F.struct("k", "k2", "line", "first")
         both = pairs.join(texts.select(F.col("k").alias("a"), whole.alias("x")), "a").join(texts.select(F.col("k").alias("b"), whole.alias("y")), "b")
-        near = both.where(F.levenshtein("x.line", "y.line", self.edits) >= 0)
+        allowed = F.when(F.least(F.length("x.line"), F.length("y.line")) < self.short_chars, few).otherwise(self.edits)
+        near = both.where(F.levenshtein("x.line", "y.line", self.edits).between(0, allowed))
         late = F.when(F.col("x.first") > F.col("y.first"), F.struct("x.k", "x.k2")).otherwise(F.struct("y.k", "y.k2"))
         return near.select(late.alias("l")).select("l.k", "l.k2").distinct()
 

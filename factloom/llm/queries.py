@@ -86,11 +86,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maker.edited(docs, maker.fit(docs))
 
 
-@query
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_line():
+    """Line dedup of all lines that are not empty; those that can be cut into
+    segments are compared for likeness, too."""
     from .line_dedup import LineDedup
 
-    out = LineDedup().clean(table(spark, sf_dir, "documents"))
+    return LineDedup(near_chars=3, exact_chars=1, short_chars=12)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = every_line().clean(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_kept", "lines_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 # weights of the mix, by level and name; names not listed weigh 1

@@ -16,7 +16,7 @@ from factloom.llm.language_id import LanguageIdentifier, codewords
 from factloom.llm.line_dedup import LineDedup
 from factloom.llm.mixing import MixtureBudget
 from factloom.llm.packing import HilbertPacker, hilbert
-from factloom.llm.queries import word_bpe
+from factloom.llm.queries import every_line, word_bpe
 from factloom.llm.substring_dedup import SubstringDedup
 from factloom.llm.suffix_dedup import SuffixDedup
 from factloom.llm.topk_search import TopKSearch
@@ -194,6 +194,32 @@ def test_suffix_dedup(docs, rows, none):
     assert SuffixDedup(50).report(none).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(4)
+    some = lambda k: "".join(rng.choice("abcdeé .") for _ in range(k))
+    base = [some(rng.randint(1, 34)) for _ in range(60)] + ["", "a", "ab", "x" * 11, "x" * 12, "x" * 13]
+
+    def edited(s):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(s))
+            s = s[:k] + rng.choice(["", "b", "é"]) + s[k + rng.randint(0, 1) :]
+        return s
+
+    data = [(i, "\n".join(edited(rng.choice(base)) for _ in range(8))) for i in range(60)]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in every_line().clean(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    seen, want = [], {}
+    for d, t in data:
+        kept = []
+        for line in t.split("\n"):
+            least = lambda m: min(len(line), len(m))  # noqa: B023, E731
+            near = any(line == m or (least(m) >= 3 and edits(line, m) <= (2 if least(m) >= 12 else 1)) for m in seen)
+            if not line or not near:
+                kept.append(line)
+            seen += [line] if line else []
+        want[d] = ("\n".join(kept), len(t.split("\n")) - len(kept))
+    assert got == want
+
+
 def repeats(rows, least=50):
     """Brute force: words in repeated windows, and words in windows that have an
     earlier place."""
