@@ -1,7 +1,8 @@
 """Graph and fixpoint operators over edge tables (src, dst).
 
 Loops run on the driver, each round is one semi-naive DataFrame step, and every
-round's result is checkpointed in the shared folder.
+round's result is written to the shared folder; what a later round replaces is
+deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import settled
+from .lineage import forget, settled
 
 
 def reach(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -17,11 +18,13 @@ def reach(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     itself only on a cycle.  Without sources: from every node."""
     steps = edges.select("src", "dst").distinct()
     start = steps if sources is None else steps.join(sources.select("src").distinct(), "src", "left_semi")
+    steps = settled(steps)
     seen = frontier = settled(start)
     while not frontier.isEmpty():
         nxt = frontier.select("src", F.col("dst").alias("mid")).join(steps.select(F.col("src").alias("mid"), "dst"), "mid")
-        frontier = settled(nxt.select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti"))
+        old, frontier = (seen, frontier), settled(nxt.select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti"))
         seen = settled(seen.union(frontier))
+        forget(*old)
     return seen
 
 
@@ -58,8 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
         front = met
         while not front.isEmpty():
             back = front.select(F.col("node").alias("dst"), "scc").join(same, "dst").select(F.col("src").alias("node"), "scc").distinct()
-            front = settled(back.join(met, "node", "left_anti"))
+            old, front = (met, front), settled(back.join(met, "node", "left_anti"))
             met = settled(met.union(front))
+            forget(*old)
         done = settled(done.union(met))
         nodes = settled(kept.join(met, "node", "left_anti"))
         live = settled(_inside(inner, nodes))
@@ -71,10 +75,11 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    colour = nodes.withColumn("colour", F.col("node"))
+    colour, new = nodes.withColumn("colour", F.col("node")), None
     while True:
         sent = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
-        new = settled(colour.join(sent, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("was")))
+        old, new = new, settled(colour.join(sent, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("was")))
+        forget(old)
         colour = new.select("node", "colour")
         if new.where("colour <> was").isEmpty():
             return colour
@@ -86,10 +91,11 @@ def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     scc = settled(components(edges))
     a, b = scc.select(F.col("node").alias("src"), F.col("scc").alias("s")), scc.select(F.col("node").alias("dst"), F.col("scc").alias("d"))
     between = settled(edges.join(a, "src").join(b, "dst").where("s <> d").select("s", "d").distinct())
-    level = settled(scc.select("scc").distinct().withColumn("level", F.lit(0)))
+    level, new = settled(scc.select("scc").distinct().withColumn("level", F.lit(0))), None
     while True:
         sent = between.join(level.withColumnRenamed("scc", "s"), "s").groupBy(F.col("d").alias("scc")).agg((F.max("level") + 1).alias("l"))
-        new = settled(level.join(sent, "scc", "left").select("scc", F.greatest("level", F.coalesce("l", "level")).alias("level"), F.col("level").alias("was")))
+        old, new = new, settled(level.join(sent, "scc", "left").select("scc", F.greatest("level", F.coalesce("l", "level")).alias("level"), F.col("level").alias("was")))
+        forget(old)
         level = new.select("scc", "level")
         if new.where("level <> was").isEmpty():
             return scc.join(level, "scc").select("node", "scc", "level"), between
@@ -177,8 +183,9 @@ def class_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     seen = front = settled(start.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct())
     while not front.isEmpty():
         nxt = front.select("src", F.col("dst").alias("mid"), "depth").join(steps, "mid").select("src", "dst", (F.col("depth") + 1).alias("depth")).distinct()
-        front = settled(nxt.join(seen, ["src", "dst"], "left_anti"))
+        old, front = (seen, front), settled(nxt.join(seen, ["src", "dst"], "left_anti"))
         seen = settled(seen.union(front))
+        forget(*old)
     return seen
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import rank_in_ranges
+
 
 def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], each: int = 20, seed: int = 20260851) -> DataFrame:
     """``each`` rows of every stratum, all of a small one.  One generator is
     advanced across the strata in name order; small strata draw nothing.  Only
-    stratum sizes and chosen positions pass through the driver."""
+    stratum sizes and chosen positions pass through the driver; positions come from
+    a sort in ranges, so a stratum of any size is spread over tasks."""
     sizes = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
     rng = random.Random(seed)
     picks = []
@@ -22,8 +25,9 @@ def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], each
         picks += [(name, k) for k in chosen]
     schema = f"`{stratum}` {df.schema[stratum].dataType.simpleString()}, __k int"
     wanted = df.sparkSession.createDataFrame(picks, schema)
-    ranked = df.withColumn("__k", (F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1).cast("int"))
-    return ranked.join(wanted, [stratum, "__k"], "left_semi").drop("__k")
+    wanted = F.broadcast(wanted.select(F.col(stratum).alias("__s"), (F.col("__k") + 1).alias("__p")))
+    ranked = rank_in_ranges(df, [stratum], order, "__k")
+    return ranked.join(wanted, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__p")), "left_semi").drop("__k")
 
 
 def tally(df: DataFrame, sets: Sequence[Sequence[str]], verdict: str) -> DataFrame:

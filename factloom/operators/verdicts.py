@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import class_closure, reach
+from .graph import class_closure
+from .lineage import settled
 
 
 def override_expansion(sites: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -32,10 +33,16 @@ def first_in_chain(start: DataFrame, classes: DataFrame, methods: DataFrame) ->
 
 
 def reaches_effect(edges: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, own): nodes that are marked, or reach a marked one."""
-    far = reach(edges).join(marked.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
-    own = marked.select("node").distinct().withColumn("own", F.lit(True))
-    return own.union(far.distinct().join(own, "node", "left_anti").withColumn("own", F.lit(False)))
+    """(node, own): nodes that are marked, or reach a marked one: a walk back from
+    the marked ones that meets each node once."""
+    own = settled(marked.select("node").distinct().withColumn("own", F.lit(True)))
+    steps = settled(edges.select("src", "dst").distinct())
+    seen = front = own
+    while not front.isEmpty():
+        back = steps.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        front = settled(back.join(seen, "node", "left_anti").withColumn("own", F.lit(False)))
+        seen = settled(seen.union(front))
+    return seen
 
 
 def closed_world(symbols: DataFrame, reasons: Sequence[tuple[str, Column]]) -> DataFrame:

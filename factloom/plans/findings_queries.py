@@ -9,6 +9,7 @@ from ..functions.bounds import posterior, score
 from ..functions.paths import excluded, owner_list
 from ..operators import findings as fo
 from ..operators import measure as mo
+from ..operators.ranks import rank_in_ranges
 from .catalogue import query, table
 
 
@@ -41,16 +42,10 @@ def posterior_bound(spark, sf):
 WITH {FINDINGS}, w AS (SELECT rule, ord, salience, row_number() OVER (PARTITION BY rule ORDER BY salience DESC, ord) - 1 AS within FROM f)
 SELECT rule, ord, within::INTEGER AS within, row_number() OVER (ORDER BY within, rule, ord)::INTEGER AS rank FROM w""")
 def tier_rank(spark, sf):
-    f = fo.rank_within(orders_as_findings(spark, sf), ["rule"], [F.desc("salience"), F.asc("ord")])
-    # the total order is (within, rule, ord): its position is the rows of smaller
-    # places, then the rules before, so no single task sorts everything
-    per = f.groupBy("rule").agg(F.count("*").alias("n"))
-    sizes = per.select("rule", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("within"))
-    level = sizes.groupBy("within").agg(F.count("*").alias("c"))
-    before = level.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("within").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    here = f.withColumn("place", F.row_number().over(Window.partitionBy("within").orderBy("rule", "ord")))
-    out = here.join(before, "within")
-    return out.select("rule", "ord", F.col("within").cast("int").alias("within"), (F.col("base") + F.col("place")).cast("int").alias("rank"))
+    f = orders_as_findings(spark, sf).select("rule", "ord", "salience")
+    placed = rank_in_ranges(f, ["rule"], [F.desc("salience"), F.asc("ord")], "k").select("rule", "ord", (F.col("k") - 1).alias("within"))
+    out = rank_in_ranges(placed, [], [F.asc("within"), F.asc("rule"), F.asc("ord")], "rank")
+    return out.select("rule", "ord", F.col("within").cast("int").alias("within"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("top_n_cut", f"""
@@ -65,11 +60,11 @@ WITH {FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY
 b AS (SELECT *, min(own) OVER (PARTITION BY status, symbol) AS symbol_rank FROM r)
 SELECT status, symbol, ord, row_number() OVER (PARTITION BY status ORDER BY symbol_rank, own)::INTEGER AS place FROM b""")
 def rollup_order(spark, sf):
-    f = orders_as_findings(spark, sf)
-    r = f.withColumn("own", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("salience"), "ord")))
+    f = orders_as_findings(spark, sf).select("status", "symbol", "ord", "salience")
+    r = rank_in_ranges(f, ["status"], [F.desc("salience"), F.asc("ord")], "own")
     b = r.withColumn("symbol_rank", F.min("own").over(Window.partitionBy("status", "symbol")))
-    place = F.row_number().over(Window.partitionBy("status").orderBy("symbol_rank", "own"))
-    return b.select("status", "symbol", "ord", place.cast("int").alias("place"))
+    out = rank_in_ranges(b, ["status"], [F.asc("symbol_rank"), F.asc("own")], "place")
+    return out.select("status", "symbol", "ord", F.col("place").cast("int").alias("place"))
 
 
 SHAPE = "md5(concat(status, '|', cast(ord % 7 as string)))"
@@ -219,7 +214,7 @@ def world_diff(spark, sf):
 
 
 @query("compose_fixes", """
-WITH e AS (SELECT o_orderkey % 1500 AS fix, o_custkey % 500 AS rel, o_orderkey % 11 AS line, o_orderstatus = 'F' AS deletes FROM orders WHERE o_orderkey % 3 = 0),
+WITH e AS (SELECT o_orderkey % 1500 AS fix, o_custkey % 500 AS rel, o_orderkey % 11 AS line, o_orderstatus = 'F' AS deletes FROM orders),
 g AS (SELECT DISTINCT fix, rel, line FROM e WHERE deletes), t AS (SELECT DISTINCT fix, rel, line FROM e WHERE NOT deletes),
 n AS (SELECT fix, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT t.fix FROM t JOIN g USING (rel, line) WHERE t.fix <> g.fix),
@@ -227,7 +222,7 @@ s AS (SELECT a.fix, b.fix AS other, count(*) AS c FROM g a JOIN g b USING (rel,
 i AS (SELECT s.fix FROM s JOIN n x ON x.fix = s.fix JOIN n y ON y.fix = s.other WHERE s.c = x.n AND x.n < y.n)
 SELECT DISTINCT fix FROM e WHERE fix NOT IN (SELECT fix FROM c) AND fix NOT IN (SELECT fix FROM i)""")
 def compose_fixes(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0)
+    o = table(spark, sf, "orders")
     e = o.select((F.col("o_orderkey") % 1500).alias("fix"), (F.col("o_custkey") % 500).alias("rel"), (F.col("o_orderkey") % 11).alias("line"), (F.col("o_orderstatus") == "F").alias("deletes"))
     return fo.compose_fixes(e)
 

@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 from ..operators import verdicts as ve
 from .catalogue import query, table
 
-CLASSES = "c AS (SELECT DISTINCT o_orderkey % 300 AS child, o_custkey % 300 AS base FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 300 > o_custkey % 300)"
-METHODS = "m AS (SELECT DISTINCT o_custkey % 300 AS owner, o_orderpriority AS name FROM orders WHERE o_orderkey % 7 = 0)"
+CLASSES = "c AS (SELECT DISTINCT o_orderkey AS child, o_custkey AS base FROM orders WHERE o_orderkey > o_custkey)"
+METHODS = "m AS (SELECT DISTINCT o_custkey AS owner, o_orderpriority AS name FROM orders)"
 
 
 def classes(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 13 = 0 and o_orderkey % 300 > o_custkey % 300")
-    return o.select((F.col("o_orderkey") % 300).alias("child"), (F.col("o_custkey") % 300).alias("base")).distinct()
+    """A base stands before its child, as in source: a smaller key."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("base"))
+    return o.where("child > base").distinct()
 
 
 def methods(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
-    return o.select((F.col("o_custkey") % 300).alias("owner"), F.col("o_orderpriority").alias("name")).distinct()
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("name")).distinct()
 
 
 @query("override_expansion", f"""
-WITH RECURSIVE {CLASSES}, {METHODS}, s AS (SELECT o_orderkey AS site, o_custkey % 300 AS owner, o_orderpriority AS name FROM orders WHERE o_orderkey % 5 = 0),
+WITH RECURSIVE {CLASSES}, {METHODS}, s AS (SELECT o_orderkey AS site, o_custkey AS owner, o_orderpriority AS name FROM orders),
 b(src, dst) AS (SELECT DISTINCT owner, owner FROM s UNION SELECT b.src, c.child FROM b JOIN c ON c.base = b.dst),
 h AS (SELECT DISTINCT s.site, m.owner AS holder FROM s JOIN b ON b.src = s.owner JOIN m ON m.owner = b.dst AND m.name = s.name),
 g AS (SELECT site, count(*) AS n, array_to_string(list_sort(list(holder)), ',') AS candidates FROM h GROUP BY 1)
 SELECT s.site, CASE WHEN g.n = 1 THEN 'resolved' WHEN g.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, g.candidates FROM (SELECT DISTINCT site FROM s) s LEFT JOIN g USING (site)""")
 def override_expansion(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0")
-    s = o.select(F.col("o_orderkey").alias("site"), (F.col("o_custkey") % 300).alias("owner"), F.col("o_orderpriority").alias("name"))
+    o = table(spark, sf, "orders")
+    s = o.select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("name"))
     out = ve.override_expansion(s, classes(spark, sf), methods(spark, sf))
     return out.select("site", "resolution", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
@@ -44,12 +44,12 @@ def first_in_chain(spark, sf):
 
 
 @query("reaches_effect", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.01),
-r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), m AS (SELECT DISTINCT dst AS node FROM e WHERE dst % 9 = 0)
-SELECT node, true AS own FROM m UNION ALL SELECT DISTINCT src, false FROM r WHERE dst IN (SELECT node FROM m) AND src NOT IN (SELECT node FROM m)""")
+WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders), m AS (SELECT DISTINCT dst AS node FROM e WHERE dst % 9 = 0),
+r(node) AS (SELECT node FROM m UNION SELECT e.src FROM r JOIN e ON e.dst = r.node)
+SELECT node, node IN (SELECT node FROM m) AS own FROM r""")
 def reaches_effect(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 50 and l_discount < 0.01")
-    e = rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    """Order keys call customer keys; every ninth customer key has the effect."""
+    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
     return ve.reaches_effect(e, e.where("dst % 9 = 0").select(F.col("dst").alias("node")))
 
 
@@ -65,16 +65,15 @@ def closed_world(spark, sf):
 
 
 @query("live_outside", """
-WITH d AS (SELECT DISTINCT 'm' || l_suppkey || '.f' || l_linenumber AS qname, 'p' || l_partkey % 500 AS name FROM lineitem WHERE l_orderkey % 50 = 0),
-u AS (SELECT DISTINCT 'p' || l_partkey % 500 AS name, 'm' || l_suppkey || '.f' || l_linenumber || CASE WHEN l_orderkey % 2 = 0 THEN '.g' ELSE '' END AS scope FROM lineitem WHERE l_orderkey % 50 <= 1)
+WITH d AS (SELECT DISTINCT 'm' || l_suppkey || '.f' || l_linenumber AS qname, 'p' || l_partkey AS name FROM lineitem),
+u AS (SELECT DISTINCT 'p' || l_partkey AS name, 'm' || l_suppkey || '.f' || l_linenumber || CASE WHEN l_orderkey % 2 = 0 THEN '.g' ELSE '' END AS scope FROM lineitem)
 SELECT DISTINCT d.qname, d.name FROM d JOIN u USING (name) WHERE u.scope <> d.qname AND NOT starts_with(u.scope, d.qname || '.')""")
 def live_outside(spark, sf):
     li = table(spark, sf, "lineitem")
     q = F.concat(F.lit("m"), F.col("l_suppkey"), F.lit(".f"), F.col("l_linenumber"))
-    name = F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("name")
-    defs = li.where("l_orderkey % 50 = 0").select(q.alias("qname"), name).distinct()
+    name = F.concat(F.lit("p"), F.col("l_partkey")).alias("name")
     scope = F.concat(q, F.when(F.col("l_orderkey") % 2 == 0, ".g").otherwise("")).alias("scope")
-    return ve.live_outside(defs, li.where("l_orderkey % 50 <= 1").select(name, scope).distinct())
+    return ve.live_outside(li.select(q.alias("qname"), name).distinct(), li.select(name, scope).distinct())
 
 
 @query("unspoken_names", """
@@ -94,12 +93,12 @@ def edge_counters(spark, sf):
 
 
 @query("shipped_subsets", """
-WITH u AS (SELECT DISTINCT l_suppkey AS item FROM lineitem WHERE l_suppkey < 12), n AS (SELECT l_orderkey AS owner, list_sort(list(DISTINCT l_suppkey)) AS named FROM lineitem WHERE l_suppkey < 12 GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2),
+WITH u AS (SELECT DISTINCT l_linenumber AS item FROM lineitem), n AS (SELECT l_orderkey AS owner, list_sort(list(DISTINCT l_linenumber)) AS named FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= 2),
 e AS (SELECT list_sort(list(item)) AS every FROM u), x AS (SELECT owner, named, list_filter(every, lambda i: NOT list_contains(named, i)) AS lacks FROM n, e)
 SELECT owner, array_to_string(named, ',') AS named, array_to_string(lacks, ',') AS lacks FROM x WHERE len(lacks) > 0""")
 def shipped_subsets(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_suppkey < 12")
-    out = ve.subset_holders(li.select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").alias("item")), li.select(F.col("l_suppkey").alias("item")))
+    li = table(spark, sf, "lineitem")
+    out = ve.subset_holders(li.select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("item")), li.select(F.col("l_linenumber").alias("item")))
     return out.select("owner", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("named", "lacks")))
 
 
