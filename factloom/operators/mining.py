@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import digest
+from .lineage import settled
 
 
 def duplicate_groups(df: DataFrame, text: str, member: str, least: int = 2) -> DataFrame:
@@ -26,83 +28,122 @@ def repeated_windows(seqs: DataFrame, seq: str, pos: str, value: str, size: int
     return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1"), "key")
 
 
-def find_repeats(seqs: list[tuple], floor: int = 20, size: int = 5) -> list[tuple]:
-    """Maximal repeats of a few sequences: (key, length, [(seq, start)]).
-
-    seqs: (digests, sizes, order, whole body, production) each.  A repeat keeps
-    runs of ``size`` or more statements and ``floor`` or more nodes, needs two
-    runs, drops out if all are whole bodies, drops overlapping runs per sequence,
-    needs one production run, and falls if a longer kept one covers all its runs."""
-    spots = [(s, p) for s, q in enumerate(seqs) for p in range(len(q[0]) - size + 1)]
-    spots.sort(key=lambda t: seqs[t[0]][0][t[1] :])
-
-    def common(a: tuple, b: tuple) -> int:
-        x, y = seqs[a[0]][0][a[1] :], seqs[b[0]][0][b[1] :]
-        n = 0
-        while n < min(len(x), len(y)) and x[n] == y[n]:
-            n += 1
-        return n
-
-    lcp = [common(a, b) for a, b in zip(spots, spots[1:], strict=False)]
-    groups: dict[tuple, set] = {}
-    stack: list[tuple[int, int]] = []
-    for k in range(len(lcp) + 1):
-        n, left = (lcp[k] if k < len(lcp) else 0), k
-        while stack and stack[-1][0] > n:
-            height, left = stack.pop()
-            if height >= size:
-                runs = spots[left : k + 1]
-                before = {(seqs[s][0][p - 1] if p else ("start", s)) for s, p in runs}
-                if len(before) > 1:
-                    s, p = runs[0]
-                    groups.setdefault(tuple(seqs[s][0][p : p + height]), set()).update(runs)
-        if n and (not stack or stack[-1][0] < n):
-            stack.append((n, left))
-    found = []
-    for words, runs in groups.items():
-        n = len(words)
-        big = [r for r in runs if sum(seqs[r[0]][1][r[1] : r[1] + n]) >= floor]
-        if len(big) < 2 or all(r[1] == 0 and len(seqs[r[0]][0]) == n and seqs[r[0]][3] for r in big):
-            continue
-        kept, ends = [], {}
-        for s, p in sorted(big, key=lambda r: (seqs[r[0]][2], r[1])):
-            if p >= ends.get(s, 0):
-                kept.append((s, p))
-                ends[s] = p + n
-        if len(kept) > 1 and any(seqs[s][4] for s, _ in kept):
-            found.append((hashlib.sha256("\n".join(words).encode()).hexdigest()[:12], n, kept))
-    out, cover = [], []
-    for key, n, runs in sorted(found, key=lambda t: (-t[1], t[0])):
-        if all(any(s == s2 and a <= p and p + n <= b for s2, a, b in cover) for s, p in runs):
-            continue
-        cover += [(s, p, p + n) for s, p in runs]
-        out.append((key, n, runs))
-    return out
-
-
-def maximal_repeats(seqs: DataFrame, seq: str, pos: str, value: str, prod: str | None = None, size: int = 5, nodes: str | None = None, floor: int = 0) -> DataFrame:
-    """(key, length, seq, start) of maximal repeats.
-
-    Only sequences that share a window with another matter, and only those that
-    share one with each other: they are grouped by connected component of shared
-    windows, and each component is mined on its own."""
+class FactorIndex:
+    """All factors of several sequences as an automaton: a state stands for factors
+    that end at the same places, and ``longest`` is the length of the longest."""
+
+    def __init__(self, sequences: Sequence[Sequence[str]]):
+        self.sequences = sequences
+        self.moves: list[dict[str, int]] = [{}]
+        self.parent, self.longest = [-1], [0]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        for s, words in enumerate(sequences):
+            at = 0
+            for p, word in enumerate(words):
+                at = self._step(at, word)
+                self.ends[at].append((s, p))
+
+    def _state(self, longest: int, moves: dict[str, int], parent: int) -> int:
+        self.moves.append(moves)
+        self.parent.append(parent)
+        self.longest.append(longest)
+        self.ends.append([])
+        return len(self.moves) - 1
+
+    def _step(self, at: int, word: str) -> int:
+        there = self.moves[at].get(word)
+        if there is not None:
+            return there if self.longest[there] == self.longest[at] + 1 else self._split(at, word, there)
+        new = self._state(self.longest[at] + 1, {}, 0)
+        while at >= 0 and word not in self.moves[at]:
+            self.moves[at][word] = new
+            at = self.parent[at]
+        if at >= 0:
+            there = self.moves[at][word]
+            self.parent[new] = there if self.longest[there] == self.longest[at] + 1 else self._split(at, word, there)
+        return new
+
+    def _split(self, at: int, word: str, there: int) -> int:
+        new = self._state(self.longest[at] + 1, dict(self.moves[there]), self.parent[there])
+        self.parent[there] = new
+        while at >= 0 and self.moves[at].get(word) == there:
+            self.moves[at][word] = new
+            at = self.parent[at]
+        return new
+
+    def repeats(self, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(length, [(sequence, start)]) of every repeat of ``size`` or more that can
+        be extended neither to the left nor to the right at all of its places.  The
+        longest factor of a state cannot to the left; it can to the right if each
+        place goes on, and with the same move."""
+        found = []
+        places = [list(x) for x in self.ends]
+        for v in sorted(range(1, len(self.moves)), key=self.longest.__getitem__, reverse=True):
+            n, at = self.longest[v], places[v]
+            if n < size:
+                continue
+            whole = len(self.moves[v]) == 1 and all(p + 1 < len(self.sequences[s]) for s, p in at)
+            if len(at) > 1 and not whole:
+                found.append((n, [(s, p - n + 1) for s, p in at]))
+            places[self.parent[v]] += at
+        return found
+
+
+def maximal_repeats(
+    seqs: DataFrame, seq: str, pos: str, value: str, prod: str | None = None, size: int = 5, nodes: str | None = None, floor: int = 0, whole: str | None = None
+) -> DataFrame:
+    """(key, length, seq, start) of maximal repeats of ``size`` or more values.
+
+    Runs of less than ``floor`` nodes do not count, nor repeats all of whose runs are
+    ``whole`` sequences.  Of runs that overlap in a sequence the earliest stay; two
+    must be left, one of them in production code.  A repeat falls if each of its runs
+    lies inside a run of a longer one: being inside carries over, so it does not
+    matter whether that one falls itself.
+
+    Only sequences that share a window with another matter: they are grouped by
+    connected component of shared windows, and each component's automaton finds its
+    repeats.  Their choice is a plan of aggregates and windows over all of them."""
     from .graph_undirected import undirected_components
 
     windows = repeated_windows(seqs, seq, pos, value, size).select("key", "seq")
     first = windows.groupBy("key").agg(F.min("seq").alias("a"))
     links = windows.join(first, "key").select(F.col("seq").alias("src"), F.col("a").alias("dst")).distinct()
     comp = undirected_components(links).withColumnRenamed("node", seq)
-    order = F.struct(F.col(pos).alias("p"), F.col(value).alias("v"), (F.col(nodes) if nodes else F.lit(1)).alias("n"))
-    rows = seqs.join(comp, seq).groupBy("root", seq).agg(F.sort_array(F.collect_list(order)).alias("t"), F.max(F.col(prod) if prod else F.lit(True)).alias("prod"))
-    rows = rows.select("root", F.col(seq).alias("seq"), F.col("t.p").alias("ps"), F.col("t.v").alias("vs"), F.col("t.n").alias("ns"), "prod")
+    order = F.struct(F.col(pos).alias("p"), F.col(value).alias("v"), (F.col(nodes) if nodes else F.lit(1)).cast("long").alias("n"))
+    flags = [F.max(F.col(c) if c else F.lit(default)).alias(k) for k, c, default in (("prod", prod, True), ("body", whole, False))]
+    rows = seqs.join(comp, seq).groupBy("root", seq).agg(F.sort_array(F.collect_list(order)).alias("t"), *flags)
+    rows = rows.select("root", F.col(seq).alias("seq"), F.col("t.p").alias("ps"), F.col("t.v").alias("vs"), F.col("t.n").alias("ns"), "prod", "body")
 
     def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        q = [(list(r.vs), list(r.ns), k, True, bool(r.prod)) for k, r in enumerate(pdf.itertuples())]
-        out = [(key, n, pdf.seq[s], int(pdf.ps[s][p])) for key, n, runs in find_repeats(q, floor, size) for s, p in runs]
-        return pd.DataFrame(out, columns=["key", "length", "seq", "start"])
-
-    return rows.groupBy("root").applyInPandas(mine, "key string, length long, seq long, start long")
+        values = [list(x) for x in pdf["vs"]]
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in pdf["ns"]]
+        out = []
+        for n, runs in FactorIndex(values).repeats(size):
+            s, p = runs[0]
+            key = hashlib.sha256("\n".join(values[s][p : p + n]).encode()).hexdigest()[:12]
+            for s, p in runs:
+                full = bool(pdf["body"].iat[s]) and n == len(values[s])
+                out.append((key, n, pdf["seq"].iat[s], p, int(pdf["ps"].iat[s][p]), int(sums[s][p + n] - sums[s][p]), full, bool(pdf["prod"].iat[s])))
+        return pd.DataFrame(out, columns=["key", "length", "seq", "place", "start", "nodes", "full", "prod"])
+
+    kind = dict(seqs.dtypes)[seq]
+    found = settled(rows.groupBy("root").applyInPandas(mine, f"key string, length long, seq {kind}, place long, start long, nodes long, full boolean, prod boolean"))
+    big = found.where(F.col("nodes") >= floor)
+    partial = big.groupBy("key", "length").agg(F.bool_and("full").alias("f"), F.count("*").alias("n")).where("not f and n > 1").select("key", "length")
+    apart = big.join(partial, ["key", "length"]).groupBy("key", "length", "seq", "prod").agg(F.sort_array(F.collect_list(F.struct("place", "start"))).alias("r"))
+    free = F.aggregate(
+        "r",
+        F.slice("r", 1, 0),
+        lambda kept, x: F.when((F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["place"] + F.col("length") <= x["place"]), F.concat(kept, F.array(x))).otherwise(kept),
+    )
+    apart = apart.select("key", "length", "seq", "prod", F.explode(free).alias("x")).select("key", "length", "seq", "prod", "x.*")
+    enough = apart.groupBy("key", "length").agg(F.count("*").alias("n"), F.bool_or("prod").alias("some")).where("n > 1 and some").select("key", "length")
+    runs = apart.join(enough, ["key", "length"])
+    before = Window.partitionBy("seq").orderBy("place", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max(F.col("place") + F.col("length")).over(before) >= F.col("place") + F.col("length"), F.lit(False))
+    marked = runs.withColumn("inside", inside)
+    covered = marked.groupBy("key", "length").agg(F.bool_and("inside").alias("all")).where("all").select("key", "length")
+    return marked.join(covered, ["key", "length"], "left_anti").select("key", "length", "seq", "start")
 
 
 def combination_groups(df: DataFrame, owner: str, item: str, size: int = 3, least: int = 3, most_items: int = 15) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal vectors and small brute-force checks of the generic operators."""
 
+import hashlib
 import math
 import random
 
@@ -60,9 +61,11 @@ def test_under_and_owner_list(spark):
 @pytest.mark.parametrize(
     ("doc", "names"),
     [
-        ("X.\n\nRaises:\n    KeyError: no.\n    a.ValueError: no.\n\nReturns:\n    int: b\n", ["KeyError", "a.ValueError"]),
+        ("X.\n\nRaises:\n    KeyError: no.\n    a.ValueError: no.\n      More of it: yes.\n\nReturns:\n    int: b\n", ["KeyError", "ValueError"]),
         ("X.\n\nRaises\n------\nKeyError\n    If so.\nOSError\n\nReturns\n-------\nint\n", ["KeyError", "OSError"]),
-        ("X.\n\n:raises KeyError: no\n:raises A, B: c\n", ["KeyError", "A", "B"]),
+        ("X.\n\n:raises KeyError: no\n:raise A, b.B: c\n", ["A", "B", "KeyError"]),
+        ("X.\n\nRaises:\n    when x is bad: no\n    KeyError: no\n", ["KeyError"]),
+        ("X.\n\nRaises:\nKeyError: no\n", []),
         ("nothing", []),
         (None, []),
     ],
@@ -72,36 +75,71 @@ def test_declared_raises(doc, names):
 
 
 def test_text_helpers(spark):
-    assert tx.blank_word("f(f, ff)", "f") == "_(_, f_)"  # the second f of ff stands at the start of what is left
     assert tx.apply_edits("abcdef", [(0, 1, "X"), (3, 5, "")]) == "Xbcf"
     assert tx.lcs_ratio("abc", "abd") == pytest.approx(2 / 3)
     rows = spark.createDataFrame([(bytearray(b"a\r\nb\xff"),), (None,)], "raw binary").select(tx.decode_text("raw").alias("d")).select("d.*").collect()
     assert [tuple(r) for r in rows] == [("a\nb�", True), (None, None)]
 
 
-def seqs(*words):
-    return [(list(w), [4] * len(w), k, True, True) for k, w in enumerate(words)]
-
-
-def test_repeats_overlap():
-    (found,) = mi.find_repeats(seqs("1212121", "9121219"), 20, 5)
-    assert found == ("02160b4177f6", 5, [(0, 0), (1, 1)])
-
-
-def test_repeats_need_nodes_and_more_than_whole_bodies():
-    assert mi.find_repeats([(list("abcde"), [3] * 5, k, True, True) for k in range(2)], 20, 5) == []
-    assert mi.find_repeats(seqs("abcdef", "abcdef"), 20, 5) == []
-
-
-def test_repeats_against_brute_force():
+def test_blank_word_and_shape(spark):
+    data = [("f(f, ff)", "f"), ("xf f_ é.f", "f"), ("fé f", "f"), ("a.b+ab", "a.b"), ("none", ""), ("$1 f", "f")]
+    got = [r[0] for r in spark.createDataFrame(data, "line string, name string").select(tx.blank_word(F.col("line"), F.col("name"))).collect()]
+    assert got == ["$($, f$)", "xf f_ é.$", "fé $", "$+ab", "none", "$1 $"]
+    two = spark.createDataFrame([("def f(x):\n    return f\n", "f"), ("  def gg(x):\n\n\treturn gg", "gg")], "body string, name string")
+    one, other = (r[0] for r in two.select(tx.body_shape(F.col("body"), F.col("name"))).collect())
+    assert one == other == hashlib.sha256(b"def $(x):\nreturn $").hexdigest()[:16]
+
+
+def repeats(spark, words, nodes=4, whole=True, prod=True, floor=20):
+    rows = [(s, p, v, nodes, prod, whole) for s, w in enumerate(words) for p, v in enumerate(w)]
+    df = spark.createDataFrame(rows, "seq long, pos long, v string, nodes int, prod boolean, body boolean")
+    out = {}
+    for r in mi.maximal_repeats(df, "seq", "pos", "v", "prod", 5, "nodes", floor, "body").collect():
+        out.setdefault((r.key, r.length), []).append((r.seq, r.start))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_repeats_overlap(spark):
+    assert repeats(spark, ["1212121", "9121219"]) == {("02160b4177f6", 5): [(0, 0), (1, 1)]}
+
+
+def test_repeats_need_nodes_production_and_more_than_whole_bodies(spark):
+    assert repeats(spark, ["abcde", "abcde"], nodes=3) == {}
+    assert repeats(spark, ["abcdef", "abcdef"]) == {}
+    assert repeats(spark, ["abcdef", "abcdef"], whole=False, prod=False) == {}
+    assert [n for _, n in repeats(spark, ["abcdef", "abcdef"], whole=False)] == [6]
+
+
+def brute_repeats(words, size=5):
+    """Repeats that no letter extends at all places, without overlaps; those inside
+    others left out."""
+    places = {}
+    for s, w in enumerate(words):
+        for p in range(len(w)):
+            for n in range(size, len(w) - p + 1):
+                places.setdefault(w[p : p + n], []).append((s, p))
+    found = {}
+    for x, at in places.items():
+        near = [{(words[s][k] if 0 <= k < len(words[s]) else (s, k)) for s, p in at for k in [p + d]} for d in (-1, len(x))]
+        if len(at) < 2 or min(len(n) for n in near) < 2:
+            continue
+        kept = []
+        for s, p in sorted(at):
+            if not kept or kept[-1][0] != s or kept[-1][1] + len(x) <= p:
+                kept.append((s, p))
+        if len(kept) > 1:
+            found[x] = kept
+    inside = lambda s, p, n: any(s == s2 and p2 <= p and p + n <= p2 + len(y) for y, at in found.items() if len(y) > n for s2, p2 in at)
+    return {x: at for x, at in found.items() if not all(inside(s, p, len(x)) for s, p in at)}
+
+
+def test_repeats_against_brute_force(spark):
     rng = random.Random(4)
-    for _ in range(30):
-        words = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 14))) for _ in range(4)]
-        found = mi.find_repeats([(list(w), [9] * len(w), k, False, True) for k, w in enumerate(words)], 0, 5)
-        for _key, n, runs in found:
-            assert len({words[s][p : p + n] for s, p in runs}) == 1 and len(runs) > 1
-        shared = any(len({s for s in range(4) for p in range(len(words[s]) - 4) if words[s][p : p + 5] == x}) > 1 for w in words for x in [w[k : k + 5] for k in range(len(w) - 4)])
-        assert bool(found) or not shared
+    for _ in range(4):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 30))) for _ in range(6)]
+        want = brute_repeats(words)
+        got = repeats(spark, words, whole=False, floor=0)
+        assert {(len(x), tuple(at)) for x, at in want.items()} == {(n, tuple(at)) for (_, n), at in got.items()}
 
 
 def edge_table(spark, pairs, extra=""):
