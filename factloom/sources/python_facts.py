@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import decode_text
 
@@ -120,6 +121,31 @@ def _strip_doc(body: list[ast.stmt]) -> list[ast.stmt]:
     return body[1:] if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str) else body
 
 
+# fixed values: calls that a loop should not repeat
+COSTLY = ("re.compile", "re.match", "re.search", "re.sub", "copy.deepcopy", "open", "subprocess.run", "sorted", "json.loads", "json.dumps", "pd.concat", "np.append")
+
+
+def costly(node: ast.Call, name: str) -> str:
+    """What a call in a loop costs too much, if anything: a listed call, or work at
+    the front of a list."""
+    first = node.args[0] if node.args else None
+    front = isinstance(first, ast.Constant) and first.value == 0 and type(first.value) is int
+    if name.endswith((".pop", ".insert")) and front:
+        return f"{name.rpartition('.')[2]}(0)"
+    return name if name in COSTLY else ""
+
+
+def outcome(handler: ast.ExceptHandler) -> str:
+    """What a handler does in the end."""
+    last = handler.body[-1]
+    if isinstance(last, ast.Raise):
+        same = last.exc is None or isinstance(last.exc, ast.Name) and last.exc.id == handler.name
+        return "raises again" if same else "raises another"
+    if isinstance(last, ast.Return):
+        return "gives a default" if last.value is None or isinstance(last.value, (ast.Constant, ast.List, ast.Dict, ast.Tuple)) else "handles"
+    return "goes on" if all(isinstance(x, (ast.Pass, ast.Continue)) for x in handler.body) else "handles"
+
+
 class _File(ast.NodeVisitor):
     """Walks one module and collects fact rows."""
 
@@ -280,8 +306,8 @@ class _File(ast.NodeVisitor):
             self.put("site", node, "sleep", name)
         if name.endswith(".get") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
             self.put("key-read", node, node.args[0].value)
-        if self.loops and name in ("re.compile", "re.match", "re.search", "re.sub", "copy.deepcopy", "open", "subprocess.run"):
-            self.put("site", node, "costly-in-loop", name, self.loops)
+        if self.loops and (what := costly(node, name)):
+            self.put("site", node, "costly-in-loop", what, self.loops)
         self.generic_visit(node)
 
     def visit_For(self, node: ast.For) -> None:
@@ -313,8 +339,15 @@ class _File(ast.NodeVisitor):
             self.put("site", node, "bool-ternary")
         self.generic_visit(node)
 
+    def visit_AugAssign(self, node: ast.AugAssign) -> None:
+        if self.loops and isinstance(node.op, ast.Add) and isinstance(node.value, (ast.JoinedStr, ast.Constant)) and isinstance(getattr(node.value, "value", ""), str):
+            self.put("site", node, "costly-in-loop", "string +=", self.loops)
+        self.generic_visit(node)
+
     def visit_Compare(self, node: ast.Compare) -> None:
         op = node.ops[0]
+        if self.loops and isinstance(op, (ast.In, ast.NotIn)) and isinstance(node.comparators[0], ast.List):
+            self.put("site", node, "costly-in-loop", "in [...]", self.loops)
         if isinstance(op, (ast.In, ast.NotIn)) and isinstance(node.comparators[0], ast.Call) and ast.unparse(node.comparators[0].func).endswith(".keys"):
             self.put("site", node, "keys-membership")
         if isinstance(op, (ast.Eq, ast.Is)) and isinstance(node.comparators[0], ast.Constant) and isinstance(node.comparators[0].value, str) and isinstance(node.left, (ast.Name, ast.Attribute)):
@@ -337,6 +370,8 @@ class _File(ast.NodeVisitor):
 
     def visit_Try(self, node: ast.Try) -> None:
         for h in node.handlers:
+            types = h.type.elts if isinstance(h.type, ast.Tuple) else [h.type] if h.type is not None else []
+            self.put("handler", h, value=outcome(h), items=[ast.unparse(t) for t in types] or ["BaseException"])
             if len(h.body) == 1 and isinstance(h.body[0], ast.Raise) and h.body[0].exc is None and len(node.handlers) == 1:
                 self.put("site", h, "noop-reraise")
             broad = h.type is None or ast.unparse(h.type) in ("Exception", "BaseException")
@@ -354,12 +389,14 @@ class _File(ast.NodeVisitor):
         if isinstance(v, ast.Dict) and v.keys and all(isinstance(k, ast.Constant) and isinstance(k.value, str) for k in v.keys):
             self.put("record", node, self.names[-1] if self.names else "", items=sorted(k.value for k in v.keys))
         else:
-            self.put("plain-return", node)
+            self.put("plain-return", node, value=ast.unparse(v)[:80] if v is not None else "")
         self.generic_visit(node)
 
     def visit_Subscript(self, node: ast.Subscript) -> None:
         if isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
             self.put("key-read" if isinstance(node.ctx, ast.Load) else "key-write", node, node.slice.value)
+        if isinstance(node.value, ast.Name):
+            self.put("use", node, node.value.id, {ast.Load: "getitem", ast.Store: "setitem"}.get(type(node.ctx), "delitem"))
         self.generic_visit(node)
 
     def visit_If(self, node: ast.If) -> None:
@@ -397,6 +434,46 @@ class _File(ast.NodeVisitor):
                 self.put("import", node, f"{base}.{a.name}", a.asname or a.name, int(not self.in_function), ["typed"] if self.typed else [])
 
 
+# fixed values: functions that the standard library has, with what to use instead
+IDIOMS = {
+    "a sum": ("def f(xs):\n t = 0\n for x in xs:\n  t += x\n return t", "sum"),
+    "a sum, spelled out": ("def f(xs):\n t = 0\n for x in xs:\n  t = t + x\n return t", "sum"),
+    "a clamp": ("def f(x, lo, hi):\n if x < lo:\n  return lo\n if x > hi:\n  return hi\n return x", "min and max"),
+    "a clamp of min and max": ("def f(x, lo, hi):\n return max(lo, min(x, hi))", "a library clamp"),
+    "any": ("def f(xs):\n for x in xs:\n  if x:\n   return True\n return False", "any"),
+    "all": ("def f(xs):\n for x in xs:\n  if not x:\n   return False\n return True", "all"),
+    "a maximum": ("def f(xs):\n m = xs[0]\n for x in xs:\n  if x > m:\n   m = x\n return m", "max"),
+    "a minimum": ("def f(xs):\n m = xs[0]\n for x in xs:\n  if x < m:\n   m = x\n return m", "min"),
+    "a lower-casing": ("def f(s):\n o = ''\n for c in s:\n  if 'A' <= c <= 'Z':\n   o += chr(ord(c) + 32)\n  else:\n   o += c\n return o", "str.lower"),
+    "a binary search": (
+        "def f(xs, v):\n lo = 0\n hi = len(xs)\n while lo < hi:\n  mid = (lo + hi) // 2\n  if xs[mid] < v:\n   lo = mid + 1\n  else:\n   hi = mid\n return lo",
+        "bisect",
+    ),
+    "a reversal": ("def f(xs):\n o = []\n for x in xs:\n  o.insert(0, x)\n return o", "reversed"),
+    "a count": ("def f(xs):\n d = {}\n for x in xs:\n  if x in d:\n   d[x] += 1\n  else:\n   d[x] = 1\n return d", "collections.Counter"),
+}
+
+
+def idiom_shapes() -> list[tuple[str, str, str]]:
+    """(digest of a body's shape, idiom, what to use instead)."""
+    return [(digest(shape(ast.parse(code).body[0])), name, instead) for name, (code, instead) in IDIOMS.items()]
+
+
+@F.pandas_udf(T.BooleanType())
+def parses_as_code(block: pd.Series) -> pd.Series:
+    """Whether lines are statements, and not words that happen to parse."""
+
+    def one(text: str) -> bool:
+        try:
+            body = ast.parse(text).body
+        except (SyntaxError, ValueError, RecursionError):
+            return False
+        plain = (ast.Name, ast.Constant, ast.Tuple, ast.Attribute, ast.UnaryOp, ast.BinOp, ast.Compare, ast.Subscript)
+        return any(not (isinstance(x, ast.Expr) and isinstance(x.value, plain)) and not isinstance(x, ast.AnnAssign) for x in body)
+
+    return block.map(lambda x: x is not None and one(x))
+
+
 def facts_of(rel: str, text: str) -> list[tuple]:
     try:
         return _File(rel, text).run(text)
