@@ -18,7 +18,9 @@ Weights come as {(level, name): integer}; a name not listed has weight 1.
 Edge cases: null keys are nodes named like ``NULL_NAME``; null or empty texts
 have no tokens: they cost nothing and go with their place in the order; rows
 with the same id share one place and stand or fall together; a weight of 0 or
-less drops the subtree; further columns are untouched.
+less drops the subtree; an empty table gives an empty mix.  Columns mix_<level>,
+mix_tokens, mix_epoch and mix_taken are replaced; names that start with __mix_ are
+reserved; all further columns are untouched.
 """
 
 from __future__ import annotations
@@ -53,13 +55,13 @@ class MixtureBudget:
         self.max_epochs, self.seed, self.bucket_rows = max_epochs, seed, bucket_rows
 
     def keyed(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-        """docs with mix_<level> keys, mix_tokens and mix_id."""
+        """docs with mix_<level> keys, mix_tokens and __mix_id."""
         cols = {f"mix_{k}": F.coalesce(v.cast("string"), F.lit(NULL_NAME)) for k, v in self.levels.items()}
-        return docs.withColumns({**cols, "mix_tokens": word_count(text), "mix_id": F.coalesce(F.col(doc).cast("string"), F.lit(""))})
+        return docs.withColumns({**cols, "mix_tokens": word_count(text), "__mix_id": F.coalesce(F.col(doc).cast("string"), F.lit(""))})
 
     def place(self, epoch: Column | str) -> Column:
         """The seeded place of a document in an epoch's order."""
-        return F.md5(F.concat_ws("|", F.lit(str(self.seed)), epoch.cast("string") if isinstance(epoch, Column) else F.col(epoch).cast("string"), "mix_id"))
+        return F.md5(F.concat_ws("|", F.lit(str(self.seed)), epoch.cast("string") if isinstance(epoch, Column) else F.col(epoch).cast("string"), "__mix_id"))
 
     def _weight(self, level: str, key: str) -> Column:
         out = F.lit(1)
@@ -113,12 +115,10 @@ class MixtureBudget:
         """(slim, cuts): slim has a row per document, cuts one per leaf with
         tokens, budget, full epochs, and the place where the last epoch ends."""
         keys = [f"mix_{k}" for k in self.levels]
-        slim = scratch.table(docs.groupBy(*keys, "mix_id").agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows")), "slim")
+        slim = scratch.table(docs.groupBy(*keys, "__mix_id").agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows")), "slim")
         leaves = slim.groupBy(*keys).agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
         leaves = scratch.table(leaves, "leaves")
-        whole = F.lit(total) if total is not None else F.expr(f"(sum(tokens) over () * {percent}) div 100")
-        given = leaves.withColumn("total", whole)
-        spread = self.budgets(given.drop("total"), F.lit(total) if total is not None else F.lit((leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100))
+        spread = self.budgets(leaves, F.lit(total) if total is not None else F.lit((leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100))
         cuts = spread.join(leaves.select(*keys, "docs"), keys).withColumn("epochs", F.expr("case when tokens > 0 then budget div tokens else 0 end"))
         cuts = cuts.withColumn("part", F.col("budget") - F.col("epochs") * F.col("tokens"))
         cuts = scratch.table(cuts.withColumn("buckets", F.expr(f"1 + docs div {self.bucket_rows}")), "cuts")
@@ -142,13 +142,16 @@ class MixtureBudget:
         scratch = Scratch(docs.sparkSession, "mixing")
         keyed = self.keyed(docs, doc, text)
         keys = [f"mix_{k}" for k in self.levels]
-        _, cuts = self.plan(keyed.select(*keys, "mix_id", "mix_tokens"), scratch, total, percent)
-        joined = keyed.join(cuts.select(*keys, "epochs", "last", "last_tokens"), keys)
-        at = self.place("epochs")
-        part = F.when(F.col("last").isNotNull() & (at <= F.col("last")), 1).otherwise(0)
-        times = F.expr("epochs").cast("int") + part
-        out = joined.withColumn("__last_at", at).withColumn("__times", times).where("__times > 0")
-        out = out.withColumn("mix_epoch", F.explode(F.expr("sequence(0, __times - 1)")))
-        cut = (F.col("mix_epoch") == F.col("epochs")) & (F.col("__last_at") == F.col("last"))
-        taken = F.when(cut, F.least("mix_tokens", "last_tokens")).otherwise(F.col("mix_tokens"))
-        return out.withColumn("mix_taken", taken).drop("epochs", "last", "last_tokens", "__last_at", "__times")
+        _, cuts = self.plan(keyed.select(*keys, "__mix_id", "mix_tokens"), scratch, total, percent)
+        ends = cuts.select(*keys, *(F.col(c).alias(f"__mix_{c}") for c in ("epochs", "last", "last_tokens")))
+        joined = keyed.join(ends, keys)
+        at = self.place("__mix_epochs")
+        part = F.when(F.col("__mix_last").isNotNull() & (at <= F.col("__mix_last")), 1).otherwise(0)
+        times = F.expr("__mix_epochs").cast("int") + part
+        out = joined.withColumn("__mix_at", at).withColumn("__mix_times", times).where("__mix_times > 0")
+        out = out.withColumn("mix_epoch", F.explode(F.expr("sequence(0, __mix_times - 1)")))
+        cut = (F.col("mix_epoch") == F.col("__mix_epochs")) & (F.col("__mix_at") == F.col("__mix_last"))
+        taken = F.when(cut, F.least("mix_tokens", "__mix_last_tokens")).otherwise(F.col("mix_tokens"))
+        new = [*keys, "mix_tokens", "mix_epoch", "mix_taken"]
+        rest = [f"`{c}`" for c in docs.columns if c not in new]
+        return out.withColumn("mix_taken", taken).select(*rest, *new)
