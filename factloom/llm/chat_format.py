@@ -14,13 +14,17 @@ Edge cases: turns are ordered by number, then role, then text; repeated turns st
 is ``user`` and a null text empty; a conversation that is missing on one side,
 or has no turns, gives ``missing``; equal conversations give ``equal``; one
 being a prefix of the other, or no assistant turn left, gives ``no_completion``.
+Rows without a conversation id belong to no conversation and are left out; an empty
+table gives no pairs; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 CLOSE = "\n<|end|>\n"
 
 
@@ -33,6 +37,23 @@ def gathered(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn"
     return rows.select("conv", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def following(rows: DataFrame, key: str) -> DataFrame:
+    """(key, next): each distinct key with the next greater one, null for the last.
+
+    Keys are sorted in ranges; what crosses a range's border is looked up among the
+    first keys of the ranges, one row for each of them."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key).distinct().repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id())
+    dealt = Scratch(spark, "following").table(dealt, "ranges")
+    first = dealt.groupBy("__range").agg(F.min(key).alias("__first"))
+    later = Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    border = first.select("__range", F.min("__first").over(later).alias("__border"))
+    inside = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
+    found = dealt.withColumn("__next", inside).join(F.broadcast(border), "__range")
+    return found.select(key, F.coalesce("__next", "__border").alias("next"))
+
+
 def _shown(turn: Column) -> Column:
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit(CLOSE))
 

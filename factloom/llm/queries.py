@@ -171,15 +171,16 @@ SELECT doc_id, dom AS mix_domain, lng AS mix_lang, src AS mix_source, k::INTEGER
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is chosen; rejected is the same one with its last
-    assistant turn replaced by that of the conversation with the next id."""
-    from .chat_format import gathered, preference_pairs
+    assistant turn replaced by that of the conversation with the next id that is
+    there."""
+    from .chat_format import following, gathered, preference_pairs
 
     turns = gathered(table(spark, sf_dir, "conversations"))
     is_answer = F.transform("turns", lambda t: t["role"] == "assistant")
     last = F.size("turns") - F.array_position(F.reverse(is_answer), True).cast("int")  # size, if there is none
     own = turns.withColumn("last", last).withColumn("answer", F.get("turns", F.col("last")))
-    other = own.where("answer is not null").select((F.col("conv") - 1).alias("conv"), F.col("answer.text").alias("instead"))
-    both = own.join(other, "conv", "left")
+    other = own.where("answer is not null").select(F.col("conv").alias("next"), F.col("answer.text").alias("instead"))
+    both = own.join(following(turns, "conv"), "conv").join(other, "next", "left")
     swapped = F.transform("turns", lambda t, k: F.when(k == F.col("last"), F.struct(t["role"].alias("role"), F.col("instead").alias("text"))).otherwise(t))
     pairs = both.select(F.col("conv").alias("pair_id"), F.col("turns").alias("chosen"), F.when(F.col("instead").isNotNull(), swapped).alias("rejected"))
     out = preference_pairs(pairs)
@@ -193,10 +194,11 @@ WITH t AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'user'), coalesce(text, '')) - 1 AS k
   FROM conversations WHERE conv_id IS NOT NULL),
 a AS (SELECT conv, max(k) AS last, arg_max(text, k) AS answer FROM t WHERE role = 'assistant' GROUP BY conv),
+x AS (SELECT conv, lead(conv) OVER (ORDER BY conv) AS follower FROM (SELECT DISTINCT conv FROM t)),
 s AS (
   SELECT t.*, a.last, n.answer AS instead,
          CASE WHEN t.k = a.last THEN n.answer ELSE t.text END AS other
-  FROM t LEFT JOIN a ON a.conv = t.conv LEFT JOIN a n ON n.conv = t.conv + 1),
+  FROM t JOIN x ON x.conv = t.conv LEFT JOIN a ON a.conv = t.conv LEFT JOIN a n ON n.conv = x.follower),
 p AS (SELECT conv, count(*) AS n, bool_or(instead IS NOT NULL) AS there,
              coalesce(min(CASE WHEN text <> other THEN k END), count(*)) AS prefix FROM s GROUP BY conv),
 w AS (
