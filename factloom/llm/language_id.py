@@ -8,8 +8,8 @@ over the bits' margins; the softmax of the negative losses is the score, and a
 document whose two best codewords are close is flagged ambiguous.
 
 Learning reads a bounded sample: at most about ``sample_rows`` labelled rows per
-language, chosen by a hash of the id, and of at most ``languages`` languages, so
-the model's size does not depend on the corpus.  Prediction reads every whole
+language, chosen by a hash of the id.  The model has a row for each language; more
+than ``languages`` of them are an error, so its size does not depend on the corpus.  Prediction reads every whole
 text and nothing but the text.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; the
@@ -50,7 +50,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(50):
         c = rng.choice(np.array([1, -1], np.int8), (n, length))
         c = c[:, np.abs(c.sum(0)) < n]
-        d = ((c[:, None, :] != c[None, :, :]).sum(2) + np.eye(n, dtype=int) * 10**6).min()
+        wide = c.astype(np.float32)
+        d = ((c.shape[1] - wide @ wide.T) / 2 + np.eye(n) * 10**6).min()
         if d > best:
             best, code = d, c
     return code
@@ -190,16 +191,28 @@ def _predict(model: LanguageModel, gap: float, at: int, keep: int):
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """The sum of one language's counts."""
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 class LanguageIdentifier:
-    """``fit`` on labelled rows, then ``annotate`` any rows that have a text."""
+    """``fit`` on labelled rows, then ``annotate`` any rows that have a text.
+
+    ``sample_rows`` bounds the labelled rows of a language, and ``languages`` the
+    number of languages: more are an error, as the model has a row for each."""
 
-    def __init__(self, sample_rows: int = 4000, languages: int = 256, gap: float = 0.2):
+    def __init__(self, sample_rows: int = 4000, languages: int = 1000, gap: float = 0.2):
         self.sample_rows, self.languages, self.gap = sample_rows, languages, gap
         self.model = LanguageModel([], np.zeros((0, CELLS)))
 
     def fit(self, rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageIdentifier:
         rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        known = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(self.languages).collect()
+        counted = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+        known = counted.orderBy(F.desc("n"), "lang").limit(self.languages + 1).collect()
+        if len(known) > self.languages:
+            raise ValueError(f"there are more than {self.languages} languages; raise that parameter")
         names = sorted(r["lang"] for r in known)
         if not names:
             return self
@@ -207,9 +220,9 @@ class LanguageIdentifier:
         limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * 2**32))) for k, v in share.items()))
         draw = F.xxhash64(F.lit(7), F.col(key).cast("string")).bitwiseAND(F.lit(2**32 - 1))
         sample = rows.where(draw < limit[F.col(lang)]).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-        parts = sample.repartition(12).mapInArrow(tk.tidy(_counts(names)), "lang long, counts binary").collect()
+        parts = sample.repartition(12).mapInArrow(tk.tidy(_counts(names)), "lang long, counts binary")
         counts = np.zeros((len(names), CELLS))
-        for r in parts:
+        for r in parts.groupBy("lang").applyInArrow(_summed, "lang long, counts binary").collect():
             counts[r["lang"]] += np.frombuffer(bytes(r["counts"]), np.int64)
         self.model = LanguageModel(names, counts)
         return self
