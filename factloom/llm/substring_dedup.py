@@ -14,7 +14,10 @@ whether a smaller document has the passage.  A shard's automaton lives in one
 task instead of being broadcast to all, because the reference grows with the
 corpus and only its own anchor's pieces can match.
 
-An anchor with a single piece needs no automaton: its piece is the first copy.
+An anchor with a single piece needs no automaton: its piece is the first copy.  An
+anchor with more than ``most_pieces`` distinct ones is refined: its windows become
+anchors of their own.  What they hold is equal, so such a shard is one window, and
+its smallest id, aggregated before the shuffle, decides.
 
 Edge cases: null or empty text has no words; texts shorter than the window lose
 nothing; rows with equal ids never remove from one another; a null id is larger
@@ -121,7 +124,7 @@ def _piece_rows(window: int, n: int, seen: np.ndarray, firsts: np.ndarray | None
                     cols = [tk.signed(h), pa.array(piece), pa.array(doc), pa.array(first - w.first[w.doc[first]]), pa.array(stop - first)]
                     yield pa.record_batch(cols, names=["anchor", "piece", "doc_id", "start", "words"])
                     continue
-                on = bitfilter.test(firsts, first_key(piece, doc))
+                on = bitfilter.test(firsts, first_key(piece, doc))  # bits all set: every piece
                 raw, offs = tk.gather(w.hash.view(np.uint8), first[on] * 8, stop[on] * 8)
                 cols = [tk.signed(h[on]), pa.array(piece[on]), pa.array(doc[on]), tk.binary_column(raw, offs)]
                 yield pa.record_batch(cols, names=["anchor", "piece", "doc_id", "content"])
@@ -129,6 +132,27 @@ def _piece_rows(window: int, n: int, seen: np.ndarray, firsts: np.ndarray | None
     return run
 
 
+def _window_rows(window: int, n: int, hot: np.ndarray):
+    """All windows of the pieces of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "piece", "doc_id", "hit", "refined"]
+        for b in _piece_rows(window, n, hot, np.full(1, 255, np.uint8))(batches):
+            first = np.frombuffer(b.column(3).buffers()[1], np.int32)[: b.num_rows + 1].astype(np.int64) // 8
+            words = np.frombuffer(b.column(3).buffers()[2], np.int64)[: first[-1]].view(tk.U)
+            count = np.diff(first) - window + 1
+            row = np.repeat(np.arange(b.num_rows), count)
+            hit = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = first[row] + hit
+            h = words[at].copy()
+            for k in range(1, window):
+                h = h * tk.U(0x9FB21C651E98DF25) + words[at + k]
+            cols = [b.column(k).take(pa.array(row)) for k in range(3)]
+            yield pa.record_batch([*cols, pa.array(hit), tk.signed(tk.mix(h))], names=names)
+
+    return run
+
+
 class SuffixAutomaton:
     """Automaton of all factors of several word sequences; each state knows the
     smallest id among the sequences that hold its factors."""
@@ -281,10 +305,12 @@ class SubstringDedup:
     with a smaller id also holds.
 
     ``filter_bits`` sizes the filter of anchors that occur in several documents,
-    ``shard_words`` the automata.  Both steer cost only."""
+    ``shard_words`` the automata; ``most_pieces`` bounds those of one anchor.  They
+    steer cost only."""
 
-    def __init__(self, window: int = 13, anchor: int = 5, filter_bits: int = 27, shard_words: int = 100_000):
+    def __init__(self, window: int = 13, anchor: int = 5, filter_bits: int = 27, shard_words: int = 100_000, most_pieces: int = 1000):
         self.window, self.anchor, self.filter_bits, self.shard_words = window, anchor, filter_bits, shard_words
+        self.most_pieces = most_pieces
 
     def spans(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
         """(doc_id, lo, hi): word ranges to remove, arrays per document id."""
@@ -296,14 +322,17 @@ class SubstringDedup:
         spec = "anchor long, piece long, doc_id long, start long, words long"
         pieces = scratch.table(docs.mapInArrow(_piece_rows(w, n, seen), spec), "pieces")
         firsts = scratch.table(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc_id")), "firsts")
-        several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-        wanted = firsts.join(several, "anchor", "left_semi").select(F.expr(FIRST_KEY).alias("key"))
+        several = scratch.table(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+        wanted = firsts.join(several.where(F.col("n") <= self.most_pieces), "anchor", "left_semi").select(F.expr(FIRST_KEY).alias("key"))
         first = bitfilter.build(wanted, "key", self.filter_bits)
         scratch.release()
         spec = "anchor long, piece long, doc_id long, content binary"
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         sent = docs.mapInArrow(_piece_rows(w, n, seen, first), spec).repartition(parts, "anchor").sortWithinPartitions("anchor", "piece", "doc_id")
         hits = scratch.table(sent.mapInArrow(_match(w, self.shard_words), "piece long, hits array<long>"), "hits")
+        hot = several.where(F.col("n") > self.most_pieces).select("anchor")
+        if not hot.isEmpty():
+            hits = hits.union(self._refined(docs, firsts, hot, scratch))
         scratch.release()
         # a piece's hash covers its words, so it names its anchor too
         marked = pieces.drop("anchor").join(firsts.select("piece", F.col("doc_id").alias("least")), "piece")
@@ -313,6 +342,16 @@ class SubstringDedup:
         both = later.union(first.select("doc_id", "lo", (F.col("lo") + w).alias("hi")))
         return both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).select("doc_id", "r.lo", "r.hi")
 
+    def _refined(self, docs: DataFrame, firsts: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame:
+        """hits of the pieces of hot anchors, window by window."""
+        bits = bitfilter.build(hot, "anchor", bitfilter.bits_for(hot.count(), self.filter_bits))
+        spec = "anchor long, piece long, doc_id long, hit long, refined long"
+        rows = docs.mapInArrow(_window_rows(self.window, self.anchor, bits), spec).join(hot, "anchor", "left_semi")
+        rows = scratch.table(rows.join(firsts, ["anchor", "piece", "doc_id"], "left_semi").select("piece", "doc_id", "hit", "refined"), "refined")
+        least = rows.groupBy("refined").agg(F.min("doc_id").alias("least"))
+        found = rows.join(least, "refined").where("doc_id > least")
+        return scratch.table(found.groupBy("piece").agg(F.collect_set("hit").alias("hits")), "refined_hits")
+
     def clean(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_words, n_removed, kept_text) for every row of docs."""
         scratch = Scratch(docs.sparkSession, "substring")
