@@ -201,15 +201,16 @@ class Fingerprinter:
         """Fingerprints of each text and of the text whose second half gives way
         to the start of the next document, in descending id, in a circle.
 
-        Documents are dealt into id ranges; the first document of each range is
-        also sent to the range above as its tail, so no task needs another's."""
+        Documents are dealt into id ranges of about equal row counts; the first
+        document of each range is also sent to the range above as its tail, so no
+        task needs another's."""
         src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        s = src.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        width = max(1, -(-((s.b or 0) - (s.a or 0) + 1) // (2 * parts)))
+        shares = [k / (2 * parts) for k in range(1, 2 * parts)]
+        cuts = sorted(set(src.agg(F.percentile_approx("doc_id", shares, 10 * parts).alias("c")).first()["c"] or []))
         # a null id comes after all others: range -1, below the smallest id's
-        block = F.coalesce(F.expr(f"(doc_id - ({s.a or 0})) div {width}"), F.lit(-1)).cast("long")
-        placed = src.withColumn("block", block)
+        above = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+        placed = src.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(above).cast("long"))
         head = placed.groupBy("block").agg(F.max("doc_id").alias("top")).orderBy(F.desc("block")).collect()
         if not head:
             return docs.sparkSession.createDataFrame([], _EDITED)
@@ -226,7 +227,7 @@ class Fingerprinter:
             .select(F.col("to").alias("block"), "doc_id", "text", F.lit(True).alias("tail"))
         )
         rows = placed.select("block", "doc_id", "text", F.lit(False).alias("tail")).union(tails)
-        sent = rows.repartition(parts, "block").sortWithinPartitions("block", "tail", F.desc_nulls_last("doc_id"), "text")
+        sent = rows.repartitionByRange(parts, "block").sortWithinPartitions("block", "tail", F.desc_nulls_last("doc_id"), "text")
         return sent.mapInArrow(_edits(model), _EDITED)
 
 
