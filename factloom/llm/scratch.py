@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; any executor
-(or a restarted one) can read it again.  Only where that setting is missing, as
-in local tests, a temporary folder is used.
+(or a restarted one) can read it again.  Where that setting is missing, a local
+session, as in tests, gets a temporary folder; a cluster gets an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

@@ -124,17 +124,6 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(g[at]), at
 
 
-def whole(w: Words) -> np.ndarray:
-    """An order-sensitive hash of each row's whole word sequence."""
-    out = np.zeros(w.rows, U)
-    for r in np.flatnonzero(np.diff(w.first)):
-        acc = 0x51ED270B
-        for x in w.hash[w.first[r] : w.first[r + 1]].tolist():
-            acc = (acc * 0x9FB21C651E98DF25 + x) & 0xFFFFFFFFFFFFFFFF
-        out[r] = acc
-    return mix(out)
-
-
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The byte ranges [start, end) one after the other, and their offsets."""
     size = end - start
