@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bits_for  # noqa: F401
+
 PER_BUCKET = 32768  # bits in one bitmap of Spark's bitmap_construct_agg
 
 

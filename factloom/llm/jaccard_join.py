@@ -2,25 +2,31 @@
 
 Method: token-combination prefixes.  Shingles are put in one global order,
 (frequency class, hash), rare class first.  With ``o`` the smallest overlap a
-partner must have, two linked sets share at least two shingles among the first
-``n - o + 2`` of each (the prefix extended by one).  So either they share a rare
-shingle there, indexed on its own, or two frequent ones, indexed as a pair.
-Long frequent prefixes, whose pairs would be too many, post single frequent
-shingles instead and meet the others through singles, so nothing is lost.
+partner must have, two linked sets share at least ``k`` shingles among the first
+``n - o + k`` of each: their prefixes, extended by ``k - 1``.  A rare shingle of
+the prefix is indexed on its own.  Frequent ones are dealt to ``k - 1`` classes by
+hash; if a pair shares no rare one, some class holds two that it shares, so only
+the two-shingle combinations inside a class are indexed.  ``k`` grows with the
+set, which keeps the combinations in proportion to it.
 
 Frequency classes come from a histogram over all shingles of all documents
 (``sketch_bits``); only the set of heavy histogram cells is broadcast, a bitmap
 of fixed size.  Documents with equal sets are one class from the start.
 
-Candidates are not expanded within a group.  First every set tries a few
-partners, those it shares most keys with among its predecessors in some seeded
-orders.  Found links are contracted; then only keys that still hold several
-components are expanded, and only across components, so every link that could
-join two components is verified and no other.
+Verification never expands a large group.  Each key names a pivot, the set with the
+fewest rare shingles that holds it; every set is compared with the pivots of its
+keys, and the links found are contracted.  Two linked sets share a key and so a
+pivot.  Those still apart are compared pair by pair where ``SMALL`` sets or fewer
+have one pivot.  In a larger group their differences from it share a shingle, unless one
+is the pivot: were the differences disjoint, the larger one alone would break
+the limit on their sum.  So prefixes of the differences are indexed by (pivot,
+shingle), where what a whole group has in common is gone.  What is to be verified
+must have parity sketches within the allowed difference.
 
 Edge cases: null or empty text gives an empty set that is linked with nothing;
 texts shorter than the shingle are one shingle; repeated rows, equal ids and
-null ids are separate rows that share a set; further columns are ignored.
+null ids are separate rows that share a set; a class whose ids are all null has a
+null id; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +44,27 @@ from . import textkernel as tk
 from .components import components
 from .scratch import Scratch
 
-PAIRS_UP_TO = 6  # frequent shingles of a prefix that are indexed as pairs
+NO_ID = (1 << 63) - 1  # stands for a null id, later than all others
+SMALL = 64  # sets with one pivot that are compared pair by pair
+PER_CLASS = 12  # a set of this many needed shingles gets one class of frequent ones
+
+
+def levels(size: int, percent: int) -> list[int]:
+    """Numbers of classes of frequent shingles for pairs whose larger set has
+    ``size`` shingles up to as many as a partner can have.  0: no combinations."""
+    out: list[int] = []
+    at, most = size, size * 100 // percent
+    while at <= most:
+        need = (percent * at + 99) // 100
+        top = need // PER_CLASS
+        level = 1 << (top.bit_length() - 1) if top else int(need >= 2)
+        out.append(level)
+        # the smallest size of the next level
+        step = 2 * level * PER_CLASS if level else 2
+        if level == 1 and top == 0:
+            step = PER_CLASS
+        at = max(at + 1, ((step - 1) * 100) // percent + 1)
+    return sorted(set(out))
 
 
 def shingle_sets(w: tk.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,65 +130,94 @@ def _heavy(docs: DataFrame, n: int, bits: int, sigmas: float, scratch: Scratch)
     return bitfilter.build(rows.where(F.col("n") > limit), "cell", bits)
 
 
+def _alone(size: int, percent: int) -> bool:
+    """Whether only an equal set can be a partner of one of this size."""
+    return (percent * size + 99) // 100 == size == size * 100 // percent and -(-2 * percent * size // (100 + percent)) >= size
+
+
+SKETCH = 4  # words of 64 bits in a parity sketch
+WORDS = [f"s{k}" for k in range(SKETCH)]
+
+
+def _sketches(g: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Parity sketches of sets: bit b tells whether an odd number of shingles hash to
+    b, so two sketches differ in no more bits than the sets in shingles."""
+    bits, rows = 64 * SKETCH, len(offs) - 1
+    spot = (tk.mix(g) & tk.U(bits - 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(rows), np.diff(offs)) * bits + spot, minlength=rows * bits) & 1
+    return np.packbits(odd.reshape(rows, bits).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+
+
 def _postings(n: int, percent: int, bits: int, heavy: np.ndarray):
+    """Rows of documents: their set's size, id and index keys; ``cut`` shingles are
+    outside the prefix, ``often`` frequent and ``rare`` rare ones inside; a partner
+    shares ``least`` of them at least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in tk.blocks(b.column(1), fold=True):
                 g, offs = shingle_sets(w, n)
                 ids = _set_ids(g, offs)
                 hot = bitfilter.test(heavy, (g >> tk.U(64 - bits)).astype(np.int64)) if len(g) else np.zeros(0, bool)
-                keys, counts, often = [], np.zeros(w.rows, np.int64), np.zeros(w.rows, np.int64)
+                keys, counts, told = [], np.zeros(w.rows, np.int64), np.zeros((4, w.rows), np.int64)
                 for r in range(w.rows):
                     size = int(offs[r + 1] - offs[r])
-                    if size < 2:
+                    if not size or _alone(size, percent):
                         continue
                     need = (percent * size + 99) // 100
-                    most = size - need + 2
+                    steps = levels(size, percent)
+                    prefix = min(size, size - need + steps[-1] + 1)
                     own, flag = g[offs[r] : offs[r + 1]], hot[offs[r] : offs[r + 1]]
-                    k = _keys(own[~flag][:most], own[flag], most, percent)
-                    counts[r], often[r] = len(k), max(0, most - int((~flag).sum()))
+                    rare, frequent = own[~flag][:prefix], own[flag]
+                    k = _keys(rare, frequent, size - need, steps)
+                    counts[r] = len(k)
+                    told[:, r] = size - prefix, prefix - len(rare), len(rare), steps[0] + 1
                     keys.append(k)
                 flat = np.concatenate(keys) if keys else np.zeros(0, tk.U)
                 at = np.zeros(w.rows + 1, np.int32)
                 np.cumsum(counts, out=at[1:])
+                sketch = _sketches(g, offs)
                 yield pa.record_batch(
                     [
                         b.column(0).slice(w.row0, w.rows).cast(pa.int64()),
                         pa.array(np.diff(offs).astype(np.int64)),
                         tk.signed(ids),
-                        pa.array(often),
+                        *(pa.array(x) for x in told),
+                        *(tk.signed(sketch[:, k]) for k in range(SKETCH)),
                         pa.ListArray.from_arrays(pa.array(at), tk.signed(flat)),
                     ],
-                    names=["doc_id", "size", "set_id", "often", "keys"],
+                    names=["doc_id", "size", "set_id", "cut", "often", "rare", "least", *WORDS, "keys"],
                 )
 
     return run
 
 
-def _keys(rare: np.ndarray, frequent: np.ndarray, most: int, percent: int) -> np.ndarray:
-    """Index keys of a prefix of ``most`` shingles.  The low two bits tell the
-    kind: 0 rare single, 1 frequent pair, 2 frequent single of a short frequent
-    prefix, 3 of a long one (2 and 3 meet each other and 3 itself, never 2 and 2)."""
-    tag = ~tk.U(3)
+def _keys(rare: np.ndarray, frequent: np.ndarray, spare: int, steps: list[int]) -> np.ndarray:
+    """Index keys of a set: its rare prefix shingles, and for each level the pairs
+    of frequent ones in one class.  The lowest bit tells combinations."""
+    tag = ~tk.U(1)
     out = [rare & tag]
-    if left := most - len(rare):
-        f = frequent[:left]
-        if len(f) <= PAIRS_UP_TO:
-            if len(f) > 1:
-                a, b = np.triu_indices(len(f), 1)
-                out.append((tk.mix(f[a] * tk.U(0x94D049BB133111EB) + f[b]) & tag) | tk.U(1))
-            # a partner's prefix is at most 100/percent times as long: only near the limit can it hold a long one
-            if most * 100 // percent + 3 > PAIRS_UP_TO:
-                out.append((f & tag) | tk.U(2))
-        else:
-            out.append((f & tag) | tk.U(3))
-    return np.concatenate(out)
+    for level in steps:
+        f = frequent[: max(0, spare + level + 1 - len(rare))]
+        if level == 0:
+            out.append(f & tag)
+        elif len(f) > level:  # fewer cannot hold level + 1 shared ones
+            part = tk.mix(f ^ tk.U(0x5851F42D4C957F2D)) % tk.U(level)
+            order = np.argsort(part, kind="stable")
+            f, part = f[order], part[order]
+            for d in range(1, len(f)):
+                same = part[d:] == part[:-d]
+                if not same.any():
+                    break
+                both = f[:-d][same] * tk.U(0x94D049BB133111EB) + f[d:][same] + tk.U(level * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
+                out.append(tk.mix(both) | tk.U(1))
+    return np.unique(np.concatenate(out))
 
 
 def _sets(n: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             hit = bitfilter.test(wanted, ids)
             if not hit.any():
                 continue
@@ -171,13 +226,16 @@ def _sets(n: int, wanted: np.ndarray):
                 g, offs = shingle_sets(w, n)
                 raw = np.ascontiguousarray(g).view(np.uint8)
                 yield pa.record_batch(
-                    [tk.signed(_set_ids(g, offs)), tk.binary_column(raw, offs * 8)], names=["set_id", "shingles"]
+                    [tk.signed(_set_ids(g, offs)), pa.array(ids[hit][w.row0 : w.row0 + w.rows]), tk.binary_column(raw, offs * 8)],
+                    names=["set_id", "doc_id", "shingles"],
                 )
 
     return run
 
 
 def _verify(percent: int):
+    """Rows (u, v, x, y) whose sets x and y are linked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
@@ -191,145 +249,206 @@ def _verify(percent: int):
     return run
 
 
+def _prefix(apart: int, size: int, pivot: int, linked: bool, percent: int) -> int:
+    """How many shingles of a set's difference from its pivot to index.
+
+    Two linked sets x and y of different components share (|x'| + |y'| - d) / 2 of
+    their differences x' and y', where d is at most ``allowed``; one of them is not
+    linked with the pivot, so its difference exceeds what is allowed there."""
+    if not apart:
+        return 0
+    if linked:
+        shared = -(-apart * percent // (100 + percent))
+    else:
+        allowed = (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+        beyond = apart * (100 + percent) - (size + pivot) * (100 - percent)
+        shared = max(1, -(-beyond // (2 * (100 + percent))), apart - allowed)
+    return apart - shared + 1
+
+
+DIFFERENCE = "u long, v long, ok boolean, apart long, tokens array<long>"
+
+
+def _differences(percent: int):
+    """Rows (u, v, large, x, y) with whether sets x and y are linked and, if large, the
+    size and a prefix of their difference.  Shingles that the pivot y lacks come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            ok, apart, counts, tokens = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            for r, (large, x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)):
+                p, q = np.frombuffer(x.as_buffer(), tk.U), np.frombuffer(y.as_buffer(), tk.U)
+                gained = np.setdiff1d(p, q, assume_unique=True)
+                both = len(p) - len(gained)
+                ok[r] = 100 * both >= percent * (len(p) + len(q) - both)
+                if large:
+                    lost = np.setdiff1d(q, p, assume_unique=True)
+                    s = np.concatenate([gained, lost])
+                    apart[r], counts[r] = len(s), _prefix(len(s), len(p), len(q), bool(ok[r]), percent)
+                    tokens.append(s[: counts[r]])
+            at = np.zeros(n + 1, np.int32)
+            np.cumsum(counts, out=at[1:])
+            flat = tk.signed(np.concatenate(tokens) if tokens else np.zeros(0, tk.U))
+            lists = pa.ListArray.from_arrays(pa.array(at), flat)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(ok), pa.array(apart), lists], names=["u", "v", "ok", "apart", "tokens"])
+
+    return run
+
+
 class JaccardJoin:
     """Links between documents whose shingle sets reach ``percent`` per cent
     Jaccard similarity, as connected components.
 
-    ``columns`` names the id and text columns.  ``sketch_bits`` sizes the
-    frequency histogram, ``filter_bits`` the filter of documents to reread; both
-    only steer cost, never the result."""
+    ``sketch_bits`` sizes the frequency histogram and ``filter_bits`` bounds the
+    filter of documents to reread; both only steer cost, never the result."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, sketch_bits: int = 18, sigmas: float = 8.0, filter_bits: int = 24, orders: int = 4, turns: int = 3):
+    def __init__(self, shingle: int = 5, percent: int = 80, sketch_bits: int = 19, sigmas: float = 3.0, filter_bits: int = 27):
+        if not 0 < percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
         self.shingle, self.percent = shingle, percent
         self.sketch_bits, self.sigmas, self.filter_bits = sketch_bits, sigmas, filter_bits
-        self.orders, self.turns = orders, turns
 
     def classes(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row of docs."""
-        spark = docs.sparkSession
-        scratch = Scratch(spark, "jaccard")
-        docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        scratch = Scratch(docs.sparkSession, "jaccard")
+        docs = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
         heavy = _heavy(docs, self.shingle, self.sketch_bits, self.sigmas, scratch)
-        rows = scratch.table(
-            docs.mapInArrow(
-                tk.tidy(_postings(self.shingle, self.percent, self.sketch_bits, heavy)), "doc_id long, size long, set_id long, often long, keys array<long>"
-            ),
-            "rows",
-        )
-        sets = rows.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-        whole = scratch.table(sets, "sets")
-        first = rows.where("size > 1").join(whole, ["set_id", "doc_id"]).select("set_id", "size", "often", F.explode("keys").alias("key"))
-        posted = self._posted(first)
-        post = scratch.table(posted, "postings")
-        links = self._links(docs, whole, post, scratch)
-        if links is None:
-            roots = whole.select(F.col("set_id").alias("node"), F.col("doc_id").alias("component_id"))
-        else:
-            linked = components(links, scratch)
-            low = linked.join(whole.withColumnRenamed("set_id", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-            roots = scratch.table(linked.join(low, "root").select("node", "component_id"), "roots")
-        out = rows.select("doc_id", "size", "set_id").join(
-            whole.select("set_id", F.col("doc_id").alias("least")), "set_id", "left"
-        )
-        if links is not None:
-            out = out.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-            root = F.coalesce("component_id", "least", "doc_id")
-        else:
-            root = F.coalesce("least", "doc_id")
-        return out.select("doc_id", F.col("size").alias("n_shingles"), root.alias("component_id"))
-
-    def _posted(self, first: DataFrame) -> DataFrame:
-        """Keys that several sets share, with the size of each set and the most
-        prefix shingles that it can share with another: frequent ones, and rare
-        ones that some other set has in its prefix too."""
-        kind = F.col("key").bitwiseAND(F.lit(3))
-        key = F.when(kind == 3, F.col("key") - 1).otherwise(F.col("key")).alias("key")
-        flat = first.select("set_id", "size", "often", key, (kind == 3).alias("long"))
-        met = flat.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").drop("m")
-        rare = F.count(F.when(F.col("key").bitwiseAND(F.lit(3)) == 0, 1)).over(Window.partitionBy("set_id"))
-        return met.withColumn("most", F.col("often") + rare).where("most > 1").drop("often")
-
-    def _needed(self, u: str, v: str) -> Column:
-        """Shared prefix shingles that a linked pair of these sizes has at least."""
+        shape = ", ".join(f"{c} long" for c in ("doc_id", "size", "set_id", "cut", "often", "rare", "least", *WORDS)) + ", keys array<long>"
+        rows = scratch.table(docs.mapInArrow(tk.tidy(_postings(self.shingle, self.percent, self.sketch_bits, heavy)), shape), "rows")
+        known = [F.first(c).alias(c) for c in ("size", "cut", "often", "rare", "least", *WORDS)]
+        sets = scratch.table(rows.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *known), "sets")
+        whole = sets.select("set_id", "doc_id")
+        first = rows.where("least > 0").select("set_id", "doc_id", "size", "keys").join(whole, ["set_id", "doc_id"])
+        post = scratch.table(self._posted(first, sets), "postings")
+        slim = scratch.table(rows.select("doc_id", "size", "set_id"), "slim")
+        scratch.drop(rows)
+        scratch.release()
+        linked = self._components(docs, sets, post, scratch)
+        out = slim.join(whole.select("set_id", F.col("doc_id").alias("least")), "set_id", "left")
+        root = F.coalesce("least", "doc_id")
+        if linked is not None:
+            low = linked.join(whole.withColumnRenamed("set_id", "node"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
+            low = scratch.table(linked.join(low, "root").select(F.col("node").alias("set_id"), "component"), "roots")
+            out = out.join(low, "set_id", "left")
+            root = F.coalesce("component", root)
+        there = lambda c: F.when(c != NO_ID, c)
+        return out.select(there(F.col("doc_id")).alias("doc_id"), F.col("size").alias("n_shingles"), there(root).alias("component_id"))
+
+    def _posted(self, first: DataFrame, sets: DataFrame) -> DataFrame:
+        """Keys that several sets of compatible sizes share, of sets that share enough
+        of their prefix: frequent shingles, and rare ones that such a set has in its
+        prefix.  Each set stands in two bands of sizes, so that two whose sizes fit
+        meet in one; ``key`` is the key in a band."""
+        width = max(-math.log(self.percent / 100) * (1 + 1e-6), 1e-3)
+        flat = first.select("set_id", "size", F.explode("keys").alias("key"))
+        met = flat.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+        band = F.floor(F.log("size") / width)
+        both = met.withColumn("band", F.explode(F.array(band, band + 1)))
+        both = both.withColumn("m", F.count("*").over(Window.partitionBy("key", "band"))).where("m > 1").select("set_id", "key", "band")
+        both = both.withColumn("one", F.row_number().over(Window.partitionBy("set_id", "key").orderBy("band")) == 1)
+        kind = F.col("one") & (F.col("key").bitwiseAND(F.lit(1)) == 0)
+        shared = both.withColumn("single", F.count(F.when(kind, 1)).over(Window.partitionBy("set_id")))
+        shared = shared.join(sets.where("least > 0").select("set_id", "size", "cut", "often", "rare", "least"), "set_id")
+        found = shared.withColumn("most", F.col("often") + F.least("rare", "single")).where("most >= least")
+        return found.select("set_id", F.xxhash64("key", "band").alias("key"), "size", "cut", "rare", "most")
+
+    def _needed(self, a: str, b: str) -> Column:
+        """Prefix shingles that a linked pair of these rows shares at least."""
         p = self.percent
-        overlap = F.expr(f"({p} * ({u} + {v}) + {99 + p}) div {100 + p}")
-        return overlap - F.expr(f"({p} * greatest({u}, {v}) + 99) div 100") + 2
-
-    def _links(self, docs: DataFrame, sets: DataFrame, post: DataFrame, scratch: Scratch) -> DataFrame | None:
-        open_ = post.withColumn("root", F.col("set_id"))
-        found = pairs = None
-        for turn in range(self.turns):
-            new = scratch.table(self._tries(open_, turn), "tries")
-            links = scratch.table(self._check(docs, sets, new, scratch), "links")
-            found = links if found is None else scratch.table(found.union(links), "links")
-            pairs = new if pairs is None else pairs.union(new)
-            if links.isEmpty():
-                break
-            label = components(found, scratch).withColumnRenamed("node", "set_id")
-            marked = post.join(label, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-            spread = marked.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-            open_ = scratch.table(marked.join(spread, "key"), "open")
-        cross = scratch.table(self._across(open_).join(pairs, ["u", "v"], "left_anti"), "cross")
-        more = self._check(docs, sets, cross, scratch)
-        links = scratch.table(found.union(more), "all")
-        scratch.drop(post, open_)
-        return None if links.isEmpty() else links
-
-    def _tries(self, post: DataFrame, turn: int) -> DataFrame:
-        """A few likely partners for each set: in each of some seeded orders the
-        set before it in a key, and the smallest set of a key; of each kind the
-        one met in most keys, if in enough of them to be likely."""
-        at = F.struct("set_id", "size", "root")
-        by_id = Window.partitionBy("key").orderBy("set_id")
-        upto = by_id.rowsBetween(Window.unboundedPreceding, 0)
-        found = [F.first(at).over(upto)]
-        for seed in range(turn * self.orders, (turn + 1) * self.orders):
-            found.append(F.lag(at).over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "set_id"), "set_id")))
-        met = post.select("set_id", "size", "root", F.array(*found).alias("met"))
-        near = met.select("set_id", "size", F.posexplode("met").alias("kind", "other"), "root").where("other.root <> root")
-        near = near.where(f"100 * least(size, other.size) >= {self.percent} * greatest(size, other.size)")
-        votes = near.groupBy("set_id", "kind", "size", "other").agg(F.count("*").alias("n")).where("20 * (n + 1) >= least(size, other.size)")
-        mate = F.col("other.set_id")
-        best = votes.groupBy("set_id", "kind").agg(F.max_by(mate, F.struct("n", -mate)).alias("mate"))
-        return best.select(F.greatest("set_id", "mate").alias("u"), F.least("set_id", "mate").alias("v")).distinct()
-
-    def _across(self, open_: DataFrame) -> DataFrame:
-        """All pairs of different components that share enough keys."""
-        cols = ("set_id", "size", "root", "long", "most")
-        left = open_.select("key", *(F.col(c).alias(f"{c}_u") for c in cols))
-        right = open_.select("key", *(F.col(c).alias(f"{c}_v") for c in cols))
-        met = (
-            left.join(right, "key")
-            .where("root_u <> root_v and set_id_u > set_id_v")
-            .where(f"100 * least(size_u, size_v) >= {self.percent} * greatest(size_u, size_v)")
-            .where("(key & 3) <> 2 or long_u or long_v")
-            .where(F.least("most_u", "most_v") >= self._needed("size_u", "size_v"))
-            .groupBy("set_id_u", "set_id_v", "size_u", "size_v")
-            .agg(*(F.count(F.when(F.col("key").bitwiseAND(F.lit(3)) == k, 1)).alias(f"n{k}") for k in range(3)))
-        )
-        # c shared pairs of frequent shingles come from (1 + sqrt(1 + 8 c)) / 2 of them; none may still be one
-        shared = F.col("n0") + F.greatest(F.col("n2"), F.ceil((1 + F.sqrt(1 + 8 * F.col("n1"))) / 2))
-        enough = shared >= self._needed("size_u", "size_v")
-        return met.where(enough).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v"))
-
-    def _content(self, docs: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-        """Shingle sets of the documents that stand for the wanted sets."""
-        need = scratch.table(
-            sets.join(wanted, "set_id", "left_semi").select("set_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "need"
-        )
-        bits = bitfilter.build(need, "doc_id", self.filter_bits)
-        both = docs.mapInArrow(tk.tidy(_sets(self.shingle, bits)), "set_id long, shingles binary")
-        return scratch.table(both.join(need.select("set_id"), "set_id", "left_semi"), "content")
-
-    def _check(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-        if pairs.isEmpty():
-            return pairs
-        wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id")))
-        content = self._content(docs, sets, wanted, scratch)
+        overlap = F.expr(f"({p} * ({a}.size + {b}.size) + {99 + p}) div {100 + p}")
+        return overlap - F.greatest(f"{a}.cut", f"{b}.cut")
+
+    def _fit(self, a: str, b: str) -> Column:
+        return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
+
+    def _near(self, post: DataFrame) -> DataFrame:
+        """(u, v, key, more, fit): each set u with the pivot v of each of its keys; more
+        tells that the key has further sets, fit that u and v may be linked."""
+        at = F.struct("rare", "set_id", "size", "cut", "most")
+        top = post.groupBy("key").agg(F.min(at).alias("v"), F.count("*").alias("m")).where("m > 1")
+        near = post.withColumn("u", at).join(top, "key").where("u.set_id <> v.set_id").withColumn("more", F.col("m") > 2)
+        fit = self._fit("u.size", "v.size") & (F.least("u.most", "v.most") >= self._needed("u", "v"))
+        out = near.select(F.col("u.set_id").alias("u"), F.col("v.set_id").alias("v"), "key", "more", fit.alias("fit"))
+        return out.where("more or fit")
+
+    def _close(self, x: str, y: str) -> Column:
+        """What sizes and sketches of two linked sets satisfy."""
+        most = f"(({x}.size + {y}.size) * {100 - self.percent}) div {100 + self.percent}"
+        ways = " + ".join(f"bit_count({x}.{w} ^ {y}.{w})" for w in WORDS)
+        return self._fit(f"{x}.size", f"{y}.size") & F.expr(f"{ways} <= {most}")
+
+    def _tries(self, near: DataFrame, sets: DataFrame) -> DataFrame:
+        """(u, v, large): sets and pivots to compare: those that may be linked, and all
+        of a large group of sets with one pivot."""
+        pairs = near.groupBy("u", "v").agg(F.max("fit").alias("fit"), F.max("more").alias("more"))
+        groups = pairs.groupBy("v").agg((F.count(F.when(F.col("more"), 1)) > SMALL).alias("large"))
+        told = lambda c: sets.select(F.col("set_id").alias(c), F.struct("size", *WORDS).alias(f"of_{c}"))
+        both = pairs.join(groups, "v").join(told("u"), "u").join(told("v"), "v").withColumn("large", F.col("large") & F.col("more"))
+        return both.where(F.col("large") | (F.col("fit") & self._close("of_u", "of_v"))).select("u", "v", "large")
+
+    def _components(self, docs: DataFrame, sets: DataFrame, post: DataFrame, scratch: Scratch) -> DataFrame | None:
+        """(node, root) of every set that is linked with another; None without links."""
+        near = scratch.table(self._near(post), "near")
+        scratch.drop(post)
+        tries = scratch.table(self._tries(near, sets), "tries")
+        scratch.release()
+        both = self._pairs(tries, self._content(docs, sets, tries, scratch)).select("u", "v", "large", "x", "y")
+        seen = scratch.table(both.mapInArrow(tk.tidy(_differences(self.percent)), DIFFERENCE), "differences")
+        scratch.release()
+        label = scratch.table(components(seen.where("ok").select("u", "v"), scratch), "label")
+        cross = scratch.table(self._across(seen, near, label, tries, sets, scratch), "cross")
+        scratch.drop(seen, near, tries)
+        if cross.isEmpty():
+            return None if label.isEmpty() else label
+        both = self._pairs(cross, self._content(docs, sets, cross, scratch)).select("u", "v", "x", "y")
+        found = scratch.table(both.mapInArrow(tk.tidy(_verify(self.percent)), "u long, v long"), "links")
+        if found.isEmpty():
+            return None if label.isEmpty() else label
+        # contract: links between roots, then every node to the root of its root
+        of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        roots = found.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        upper = scratch.table(components(roots, scratch), "upper").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        lower = label.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        alone = upper.join(label.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        return scratch.table(lower.union(alone), "linked")
+
+    def _across(self, seen: DataFrame, near: DataFrame, label: DataFrame, tries: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+        """Pairs (u, v) of different components that share a key and fit: those of small
+        groups one by one, those of large ones where their differences from the pivot
+        meet."""
+        named = label.withColumnRenamed("node", "u")
+        keyed = near.where("more").join(named, "u", "left").select("u", "v", "key", F.coalesce("root", "u").alias("root"))
+        spread = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        wanted = keyed.join(spread, "key", "left_semi").select("u", "v", "root").distinct()
+        open_ = wanted.join(sets.select(F.col("set_id").alias("u"), "size", *WORDS), "u")
+        marked = open_.join(tries.where("large").select("u", "v", F.lit(True).alias("large")), ["u", "v"], "left")
+        open_ = scratch.table(marked.withColumn("large", F.coalesce("large", F.lit(False))), "open")
+        one = F.struct("u", "root", "size", *WORDS)
+        apart = (F.col("x.u") > F.col("y.u")) & (F.col("x.root") != F.col("y.root")) & self._close("x", "y")
+        pairs = lambda df: df.select(F.col("x.u").alias("u"), F.col("y.u").alias("v"))
+        few = lambda c: open_.where("not large").select("v", one.alias(c))
+        direct = pairs(few("x").join(few("y"), "v").where(apart))
+        told = seen.where("size(tokens) > 0").join(open_.where("large").drop("large"), ["u", "v"])
+        many = lambda c: told.select(F.explode("tokens").alias("token"), "v", F.struct("u", "root", "size", "apart", *WORDS).alias(c))
+        most = f"((x.size + y.size) * {100 - self.percent}) div {100 + self.percent}"
+        met = pairs(many("x").join(many("y"), ["v", "token"]).where(apart & F.expr(f"abs(x.apart - y.apart) <= {most}")))
+        return direct.union(met).distinct()
+
+    def _content(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """Shingle sets of the documents that stand for the sets of pairs."""
+        ends = pairs.select(F.col("u").alias("set_id")).union(pairs.select(F.col("v").alias("set_id"))).distinct()
+        need = scratch.table(sets.select("set_id", "doc_id").join(ends, "set_id", "left_semi"), "need")
+        wanted = bitfilter.build(need, "doc_id", bitfilter.bits_for(need.count(), self.filter_bits))
+        both = docs.mapInArrow(tk.tidy(_sets(self.shingle, wanted)), "set_id long, doc_id long, shingles binary")
+        out = scratch.table(both.join(need, ["set_id", "doc_id"], "left_semi").drop("doc_id"), "content")
+        scratch.release()
+        return out
+
+    def _pairs(self, pairs: DataFrame, content: DataFrame) -> DataFrame:
         a = content.select(F.col("set_id").alias("u"), F.col("shingles").alias("x"))
         b = content.select(F.col("set_id").alias("v"), F.col("shingles").alias("y"))
-        both = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y")
-        return both.mapInArrow(tk.tidy(_verify(self.percent)), "u long, v long").distinct()
+        return pairs.join(a, "u").join(b, "v")
 
 
 def keep_one(docs: DataFrame, join: JaccardJoin | None = None) -> DataFrame:

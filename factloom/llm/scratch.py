@@ -56,3 +56,8 @@ class Scratch:
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bits_for(keys: int, most: int, least: int = 15) -> int:
+    """Bits for a filter in which some 16 bits fall to a key, up to ``most``."""
+    return max(least, min(most, (16 * max(keys, 1)).bit_length()))
