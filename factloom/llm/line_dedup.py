@@ -8,8 +8,8 @@ the longer line probes an index keyed by (length, segment number, segment text).
 Keys are 64-bit hashes: texts do not travel with them.  Only the texts of lines
 that share a key with another one are fetched, through a filter of fixed size.
 Their pairs are kept if the counts of some letters differ by no more than the
-edits can explain, and verified by Spark's thresholded, hence banded, edit
-distance.
+edits can explain, and verified by a banded bit-parallel edit distance: a fold over
+code points that carries a few bits.
 
 A line goes if it is not the earliest of its equals or if some earlier line is
 within ``edits`` of it; within one edit if the shorter has fewer than
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitfilter import bits_for
 from .scratch import Scratch
 
 LATEST = (1 << 63) - 1
@@ -58,12 +59,14 @@ def _shifts(i: int, d: int, edits: int) -> range:
 def probe_keys(line: str, length: str, edits: int) -> list[str]:
     """Keys of the places where a segment of a line that is 0..edits shorter can
     lie in this one."""
-    out = []
-    for d in range(edits + 1):
-        short = f"({length} - {d})"
-        for i, (at, n) in enumerate(segments(short, edits + 1)):
-            out += [f"xxhash64({short}, {i}, substring({line}, {at} + {s} + 1, {n}))" for s in _shifts(i, d, edits)]
-    return out
+    return [key for d in range(edits + 1) for key in _shifted(line, f"({length} - {d})", d, edits)]
+
+
+def _shifted(line: str, target: str, d: int, edits: int) -> list[str]:
+    """Keys of the segments of a line of ``target`` code points, d fewer, at all their
+    shifts."""
+    cut = segments(target, edits + 1)
+    return [f"xxhash64({target}, {i}, substring({line}, {at} + {s} + 1, {n}))" for i, (at, n) in enumerate(cut) for s in _shifts(i, d, edits)]
 
 
 def mixed_keys(line: str, length: str, edits: int, short: int) -> list[str]:
@@ -72,11 +75,7 @@ def mixed_keys(line: str, length: str, edits: int, short: int) -> list[str]:
     few, out = min(edits, 1), []
     for d in range(edits + 1):
         target = f"({length} - {d})"
-        own, less = (
-            [f"xxhash64({target}, {i}, substring({line}, {at} + {s} + 1, {n}))" for i, (at, n) in enumerate(segments(target, e + 1)) for s in _shifts(i, d, e)]
-            for e in (edits, few)
-        )
-        less = less if d <= few else []
+        own, less = _shifted(line, target, d, edits), _shifted(line, target, d, few) if d <= few else []
         for k, key in enumerate(own):
             out.append(f"case when {target} >= {short} then {key} {f'else {less[k]}' if k < len(less) else ''} end")
     return out
@@ -97,35 +96,54 @@ def letters_apart(a: str, b: str) -> str:
     return " + ".join(f"abs({part.format(a, 6 * k)} - {part.format(b, 6 * k)})" for k in range(len(LETTERS)))
 
 
-class SeenBits:
-    """A fixed-size filter of hash keys as a constant array of longs."""
-
-    def __init__(self, keys: DataFrame, key: str, bits: int):
-        self.bits = bits
-        words = (
-            keys.select(F.expr(f"{key} & {(1 << bits) - 1}").alias("spot"))
-            .groupBy(F.expr("spot div 64").alias("word"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("mask"))
-            .collect()
-        )
-        held = [0] * ((1 << bits) // 64)
-        for r in words:
-            held[r["word"]] = r["mask"]
-        self.empty = not words
-        self.text = "[" + ",".join(map(str, held)) + "]"
-
-    def maybe(self, key: str) -> Column:
-        if self.empty:
-            return F.lit(False)
-        spot = f"({key} & {(1 << self.bits) - 1})"
-        array = f"from_json('{self.text}', 'array<bigint>')"  # folded to a constant by the optimizer
-        return F.expr(f"shiftright(element_at({array}, cast({spot} div 64 as int) + 1), cast({spot} % 64 as int)) & 1 = 1")
+def within(a: str, b: str, edits: int, allowed: str) -> str:
+    """Whether lines a and b are at most ``allowed`` (no more than ``edits``) edits
+    apart, as a SQL expression: banded bit-parallel.
+
+    Bit d + edits of the e-th group of bits tells that the first j + d code points of
+    a become the first j of b with at most e edits.  A code point of b moves all
+    groups at once, by the bits of its equal ones in the band of a; once no group has
+    a bit the rest is skipped."""
+    width = 2 * edits + 1
+    full = (1 << width) - 1
+    group = lambda e: f"(shiftright(s, {width * e}) & {full})"
+    step, new = [], ""
+    for e in range(edits + 1):
+        kept = f"({group(e)} & c)"
+        below = f"({group(e - 1)} | shiftright({group(e - 1)}, 1) | (shiftleft({new}, 1) & {full}))" if e else ""
+        new = f"({kept} | {below})" if e else kept
+        step.append(f"shiftleft({new}, {width * e})" if e else new)
+    equal = " + ".join(f"if(get(xs, j + {d}) <=> get(ys, j), {1 << (d + edits)}, 0)" for d in range(-edits, edits + 1))
+    first, start = 1 << edits, 0
+    for e in range(edits + 1):
+        start |= (first & full) << (width * e)
+        first |= first << 1
+    walk = (
+        f"aggregate(sequence(0, size(ys) - 1), {start}, (s, j) -> if(s = 0, 0, aggregate(array({equal}), s, (s, c) -> {' | '.join(step)})))"
+    )
+    text = lambda x: f"regexp_extract_all({x}, '(?s).', 0)"
+    spot = f"size(xs) - size(ys) + {edits}"
+    told = f"shiftright({walk}, {width} * ({allowed}) + {spot}) & 1 = 1"
+    # xs and ys are bound once
+    bound = f"transform(array(named_struct('xs', {text(a)}, 'ys', {text(b)})), z -> abs(size(z.xs) - size(z.ys)) <= {edits} and {told.replace('xs', 'z.xs').replace('ys', 'z.ys')})"
+    return f"if({a} = {b}, true, if({a} = '' or {b} = '', length({a}) + length({b}) <= ({allowed}), get({bound}, 0)))"
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """rows whose key may be one of keys: a filter of 2**bits bits, held as 64-bit
+    words in a broadcast table, which is bounded by that whatever the input."""
+    spot = F.expr(f"{key} & {(1 << bits) - 1}")
+    marks = keys.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("__word"))
+    words = marks.agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("__mask"))
+    asked = rows.withColumn("__spot", spot).withColumn("__word", F.expr("__spot div 64"))
+    found = asked.join(F.broadcast(words), "__word").where("shiftright(__mask, cast(__spot % 64 as int)) & 1 = 1")
+    return found.drop("__word", "__spot", "__mask")
 
 
 class LineDedup:
     """Drops lines that an earlier line equals or nearly equals."""
 
-    def __init__(self, edits: int = 2, near_chars: int = 30, exact_chars: int = 12, filter_bits: int = 18, short_chars: int = 0):
+    def __init__(self, edits: int = 2, near_chars: int = 30, exact_chars: int = 12, filter_bits: int = 24, short_chars: int = 0):
         self.edits, self.near_chars, self.exact_chars, self.filter_bits = edits, near_chars, exact_chars, filter_bits
         self.short_chars = short_chars
 
@@ -175,9 +193,9 @@ class LineDedup:
         )
         met = scratch.table(met.where("lo <> hi and first_n = -1").select("k", "n", "key"), "met")
         scratch.release()
-        ends = met.select("k").distinct()
-        seen = SeenBits(ends, "k", self.filter_bits)
-        some = lines.where(F.col("size") >= self.near_chars).where(seen.maybe("k")).select("k", "k2", "line")
+        ends = scratch.table(met.select("k").distinct(), "ends")
+        bits = bits_for(ends.count(), self.filter_bits)
+        some = maybe_among(lines.where(F.col("size") >= self.near_chars).select("k", "k2", "line"), ends, "k", bits)
         texts = some.join(ends, "k", "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"))
         texts = texts.join(distinct.select("k", "k2", "first"), ["k", "k2"])
         texts = scratch.table(texts.withColumn("letters", F.expr(letter_counts("line"))), "texts")
@@ -192,7 +210,8 @@ class LineDedup:
         whole = F.struct("k", "k2", "line", "first")
         both = pairs.join(texts.select(F.col("k").alias("a"), whole.alias("x")), "a").join(texts.select(F.col("k").alias("b"), whole.alias("y")), "b")
         allowed = F.when(F.least(F.length("x.line"), F.length("y.line")) < self.short_chars, few).otherwise(self.edits)
-        near = both.where(F.levenshtein("x.line", "y.line", self.edits).between(0, allowed))
+        both = both.withColumn("allowed", allowed)
+        near = both.where(F.expr(within("x.line", "y.line", self.edits, "allowed")))
         late = F.when(F.col("x.first") > F.col("y.first"), F.struct("x.k", "x.k2")).otherwise(F.struct("y.k", "y.k2"))
         return near.select(late.alias("l")).select("l.k", "l.k2").distinct()
 
