@@ -7,16 +7,17 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from factloom.llm.chat_format import gathered, preference_pairs
+from factloom.llm.chat_format import following, gathered, preference_pairs
 from factloom.llm.fingerprints import Fingerprinter
 from factloom.llm.jaccard_join import JaccardJoin, keep_one
 from factloom.llm.language_id import LanguageIdentifier, codewords
 from factloom.llm.line_dedup import LineDedup
 from factloom.llm.mixing import MixtureBudget
 from factloom.llm.packing import HilbertPacker, hilbert
-from factloom.llm.queries import every_line, word_bpe
+from factloom.llm.queries import QUERIES, every_line, word_bpe
 from factloom.llm.substring_dedup import SubstringDedup
 from factloom.llm.suffix_dedup import SuffixDedup
 from factloom.llm.topk_search import TopKSearch
@@ -85,8 +86,9 @@ def test_substring_dedup(docs, rows, none):
 
 
 def test_substring_dedup_small_shards(docs):
-    small = SubstringDedup(13, filter_bits=15, shard_words=50).clean(docs)
-    assert sorted(small.collect()) == sorted(SubstringDedup(13).clean(docs).collect())
+    want = sorted(SubstringDedup(13).clean(docs).collect())
+    assert sorted(SubstringDedup(13, filter_bits=15, shard_words=50).clean(docs).collect()) == want
+    assert sorted(SubstringDedup(13, most_pieces=1).clean(docs).collect()) == want  # every shared anchor is refined
 
 
 def classes(rows, n, percent):
@@ -111,7 +113,7 @@ def classes(rows, n, percent):
     return {(d, len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("n", "percent", "bits", "seed"), [(4, 85, 18, 3), (5, 80, 4, 4), (1, 60, 15, 5)])
+@pytest.mark.parametrize(("n", "percent", "bits", "seed"), [(4, 85, 18, 3), (5, 80, 4, 4), (1, 60, 15, 5), (1, 30, 15, 6), (2, 45, 18, 7)])
 def test_jaccard_join(spark, n, percent, bits, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -119,6 +121,30 @@ def test_jaccard_join(spark, n, percent, bits, seed):
     assert got == classes(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "sigmas"), [(4, 85, 8.0), (3, 80, 0.0), (2, 90, 0.0)])
+def test_jaccard_join_of_a_large_group(spark, n, percent, sigmas):
+    """Near copies of one text, about as far apart as the limit allows."""
+    draw = random.Random(percent)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for d in range(150):
+        text = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2, 2, 3, 4])):
+            k = draw.randrange(len(text))
+            text[k : k + 1] = draw.choice([[], [f"x{draw.randrange(40)}"], [f"y{d}", "z"]])
+        rows.append((d, " ".join(text)))
+    rows += [(200 + d, f"only w{d} w{d + 1} w{d + 2} w{d + 3} here") for d in range(60)]
+    got = {tuple(r) for r in JaccardJoin(n, percent, sketch_bits=15, sigmas=sigmas).classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows, n, percent)
+
+
+def test_jaccard_join_of_short_sets(spark):
+    rows = [(1, "a b"), (2, "a c"), (3, "q"), (4, "q z"), (5, "q"), (6, "k l m"), (7, "k")]
+    for percent in (30, 34, 50):
+        got = {tuple(r) for r in JaccardJoin(1, percent).classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == classes(rows, 1, percent)
+
+
 def test_jaccard_odd_rows(spark, none):
     assert JaccardJoin().classes(none).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
@@ -145,6 +171,26 @@ def edits(a, b):
     return row[-1]
 
 
+def test_banded_distance(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.llm.line_dedup import within
+
+    rng = random.Random(1)
+    pairs = [("", ""), ("", "ab"), ("", "abc"), ("a", "b"), ("😀a", "😁a"), ("ab", "ba")]
+    for _ in range(300):
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randint(1, 12)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    for most in (1, 2, 3):
+        got = df.select("k", *(F.expr(within("a", "b", most, str(e))).alias(str(e)) for e in range(most + 1))).collect()
+        assert [(r.k, e) for r in got for e in range(most + 1) if r[str(e)] != (edits(*pairs[r.k]) <= e)] == []
+
+
 def test_line_dedup(spark, none):
     rng = random.Random(9)
     base = [f"abcdefgh ijklmnop qrstuvw xyz {i} and so on" for i in range(12)] + ["short", "a b c d e f g h", "x" * 40]
@@ -290,6 +336,23 @@ def test_topk(spark):
     assert TopKSearch().search(df.where("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_topk_of_mixed_sizes(spark):
+    from pyspark.sql import functions as F
+
+    data = [(0, [1.0, 2.0]), (50, [1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [2.0, 2.0]), (3, [1.0, 1.0, 1.0]), (4, [])]
+    df = spark.createDataFrame([(*r, 9) for r in data], "vec_id long, embedding array<double>, block int")
+    got = [tuple(r) for r in TopKSearch(5).search(df, F.col("vec_id") % 50 == 0).collect()]
+    # only vectors of the commonest size can be compared; repeated ids are candidates of their own
+    assert sorted(got) == [(0, 1, 2, 6 * 65536), (0, 2, 1, 98304), (0, 3, 1, 98304)]
+
+
+def test_suffix_dedup_of_odd_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(None, text, "c"), (4, text, "c"), (4, text, "c"), (9, "x " + text, "c"), (1, None, "c")], "doc_id long, text string, core string")
+    got = {r.doc_id: (r.n_repeated, r.n_removed, r.mate) for r in SuffixDedup(50).report(df).collect()}
+    assert got[4][:2] == (60, 0) and got[9] == (60, 60, 4) and len(got) == 3
+
+
 def test_fingerprints(docs, rows, none):
     maker = Fingerprinter()
     got = {r.doc_id: r for r in maker.edited(docs, maker.fit(docs)).collect()}
@@ -307,6 +370,62 @@ def test_fingerprints(docs, rows, none):
     assert maker.edited(none, maker.fit(none)).count() == 0
 
 
+def brute_prints(texts, maker):
+    """I-Match with sets and dictionaries: for each text its terms in each subset."""
+    from factloom.llm import textkernel as tk
+
+    sets = [set(words(t, True)) for t in texts]
+    counts = {}
+    for x in sets:
+        for term in x:
+            counts[term] = counts.get(term, 0) + 1
+    band = {t for t, c in counts.items() if max(2, maker.low * len(texts)) <= c <= max(2, maker.high * len(texts))}
+    hashes = {t: int(next(tk.blocks(pa.array([t]))).hash[0]) for t in counts}
+    draw = lambda t, k: int(tk.mix(np.array([hashes[t]], np.uint64) ^ np.uint64(maker.seed * 1_000_003 + k * 7_919))[0])
+    rates = [r for r in maker.rates for _ in range(maker.each)]
+    return [[frozenset(t for t in x & band if draw(t, k + 1) % r == 0) for k, r in enumerate(rates)] + [frozenset(x)] for x in sets], rates
+
+
+def test_fingerprints_against_sets(spark):
+    rows = [(d * d, t) for d, t, *_ in corpus(8)]
+    maker = Fingerprinter(low=0.02, high=0.6, rates=(2, 8, 32), each=4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in maker.edited(df, maker.fit(df)).collect()}
+    ring = sorted(rows, reverse=True)
+    nexts = ring[1:] + ring[:1]
+    texts = [t or "" for _, t in ring]
+    edited = [t[: len(t) - len(t) // 2] + (n or "")[: len(t) // 2] for t, (_, n) in zip(texts, nexts, strict=True)]
+    prints, rates = brute_prints(texts, maker)
+    assert any(any(p[:-1]) for p in prints)
+    for (d, _), p, q in zip(ring, prints, prints[1:] + prints[:1], strict=True):
+        parts = [got[d].fingerprint[k : k + 8] for k in range(0, len(got[d].fingerprint), 8)]
+        assert [x == "00000000" for x in parts] == [not x for x in p]  # empty subsets, and no others, are 0
+        held = [k for k in range(len(rates)) if p[k] or q[k]]
+        same = sum(rates[k] for k in held if p[k] == q[k])
+        assert got[d].near_next == pytest.approx(same / sum(rates[k] for k in held) if held else float(p[-1] == q[-1]))
+    by_part = {}
+    for (d, _), p in zip(ring, prints, strict=True):  # equal term sets have equal hashes, and only these
+        for k, x in enumerate(p):
+            by_part.setdefault((k, x), set()).add(got[d].fingerprint[8 * k : 8 * k + 8])
+    assert all(len(x) == 1 for x in by_part.values())
+    assert len({(k, h) for (k, _), x in by_part.items() for h in x}) == len(by_part)
+    known, _ = brute_prints(texts + edited, maker)  # the band is that of the input
+    assert all(0 <= got[d].near_edited <= 1 for d in got) and len(known) == 2 * len(texts)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    data = [(None, "a b"), (None, "a b"), (5, "c d"), (5, "a c"), (10**15, "x"), (-7, None), (6, "e" * 3000)]
+    df = spark.createDataFrame([(*r, "z") for r in data], "doc_id long, text string, block string")
+    maker = Fingerprinter()
+    out = maker.edited(df, maker.fit(df)).collect()
+    ring = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for (d, t), (_, n) in zip(ring, ring[1:] + ring[:1], strict=True):
+        t, n = t or "", n or ""
+        want.append((d, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.edited_sha256) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -353,6 +472,15 @@ def test_language_id(spark, none):
     assert LanguageIdentifier().fit(none).annotate(none).count() == 0
 
 
+def test_language_id_keeps_rows(spark):
+    data = [(1, "the other thing", "aa", "x"), (1, "the other thing", "aa", "x"), (None, "the", None, "y"), (2, "wo der ung", "bb", "z")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, lang_pred string")
+    out = LanguageIdentifier().fit(df).annotate(df.withColumn("counts", df["lang"])).collect()
+    assert sorted((str(r.doc_id), r.lang_pred, r.counts) for r in out) == [("1", "aa", "aa")] * 2 + [("2", "bb", "bb"), ("None", "aa", None)]
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        LanguageIdentifier(languages=1).fit(df)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 9, 40])
 def test_codewords_differ(n):
     code = codewords(n)
@@ -382,6 +510,45 @@ def test_mixing(spark, docs, rows, none):
     assert mix.select(none).count() == 0
 
 
+def test_mixing_leaves_other_columns_alone(spark, rows):
+    from pyspark.sql import functions as F
+
+    names = ("epochs", "last", "last_tokens", "n", "budget", "tokens", "part", "at", "bucket", "mix_id")
+    df = spark.createDataFrame([(*r[:4], *(f"{k}{r[0]}" for k in names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{k} string" for k in names))
+    mix = MixtureBudget({"lang": F.col("lang")}, {("lang", "en"): 3}, max_epochs=2)
+    got = mix.select(df.withColumn("mix_epoch", F.lit("mine")), percent=60)
+    assert got.columns == [*df.columns, "mix_lang", "mix_tokens", "mix_epoch", "mix_taken"]
+    plain = mix.select(df.select("doc_id", "text", "lang"), percent=60).collect()
+    assert sorted((r.doc_id, r.mix_epoch, r.mix_taken) for r in got.collect()) == sorted((r.doc_id, r.mix_epoch, r.mix_taken) for r in plain)
+    assert all(r[k] == f"{k}{r.doc_id}" for r in got.collect() for k in names)
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b c", "en"), (1, "a b c", "en"), (None, "d e", "en"), (2, "f", None), (3, None, "en")], "doc_id long, text string, lang string")
+    got = MixtureBudget({"lang": F.col("lang")}, max_epochs=1).select(df).collect()
+    assert sorted((str(r.doc_id), r.text, r.mix_taken) for r in got if r.text) == [("1", "a b c", 3), ("1", "a b c", 3), ("2", "f", 1), ("None", "d e", 2)]
+
+
+def test_following(spark):
+    for keys in ([10, 20, 20, 25, 7, 1000, -3], [5], []):
+        got = {r.k: r.next for r in following(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
+        order = sorted(set(keys))
+        assert got == dict(zip(order, [*order[1:], None], strict=True)) if keys else got == {}
+
+
+def test_chat_query_takes_the_next_conversation_there_is(spark, tmp_path):
+    rows = [(10, 0, "user", "q"), (10, 1, "assistant", "ten"), (20, 0, "user", "q"), (20, 1, "assistant", "twenty"), (20, 1, "assistant", "twenty"), (30, 0, "user", "q"), (None, 0, "assistant", "lost")]
+    df = spark.createDataFrame([(*r, "more") for r in rows], "conv_id long, turn long, role string, text string, turns string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r.pair_id: r for r in QUERIES["op4_chat_format"](spark, str(tmp_path)).collect()}
+    assert {k: r.status for k, r in out.items()} == {10: "ok", 20: "missing", 30: "missing"}
+    assert "twenty" in out[10].rejected and "ten" in out[10].chosen
+    df.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert QUERIES["op4_chat_format"](spark, str(tmp_path / "none")).count() == 0
+
+
 def test_chat_format(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, None, None), (4, 0, "user", "hi")]
     conv = {r.conv: r.turns for r in gathered(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
