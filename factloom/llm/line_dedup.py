@@ -196,7 +196,8 @@ class LineDedup:
         ends = scratch.table(met.select("k").distinct(), "ends")
         bits = bits_for(ends.count(), self.filter_bits)
         some = maybe_among(lines.where(F.col("size") >= self.near_chars).select("k", "k2", "line"), ends, "k", bits)
-        texts = some.join(ends, "k", "left_semi").groupBy("k", "k2").agg(F.min("line").alias("line"))
+        # ends are distinct; a semi join would be moved below the filter, and so move all lines
+        texts = some.join(ends, "k").groupBy("k", "k2").agg(F.min("line").alias("line"))
         texts = texts.join(distinct.select("k", "k2", "first"), ["k", "k2"])
         texts = scratch.table(texts.withColumn("letters", F.expr(letter_counts("line"))), "texts")
         marked = met.join(texts.select("k", "letters").distinct(), "k")
