@@ -192,6 +192,7 @@ class LineDedup:
             "k", "n", "key", F.min("k").over(by_key).alias("lo"), F.max("k").over(by_key).alias("hi"), F.min("n").over(by_key).alias("first_n")
         )
         met = scratch.table(met.where("lo <> hi and first_n = -1").select("k", "n", "key"), "met")
+        scratch.drop(one)
         scratch.release()
         ends = scratch.table(met.select("k").distinct(), "ends")
         bits = bits_for(ends.count(), self.filter_bits)
@@ -221,7 +222,8 @@ class LineDedup:
         ``lines_dropped``."""
         scratch = Scratch(docs.sparkSession, "lines")
         gone = self.dropped(docs, scratch, doc, text).groupBy("doc", "body").agg(F.collect_set("pos").alias("gone"))
-        gone = scratch.table(gone.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), "gone"), "gone").withColumnRenamed("gone", "__gone")
+        gone = scratch.table(gone.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("gone").alias("__gone")), "gone")
+        scratch.only(gone)
         keyed = docs.withColumn("__doc", F.coalesce(F.col(doc).cast("long"), F.lit(LATEST))).withColumn("__body", F.xxhash64(F.col(text)))
         joined = keyed.join(gone, ["__doc", "__body"], "left")
         parts = F.split(F.col(text), "\n")

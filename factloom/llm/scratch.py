@@ -33,6 +33,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._serial = 0
+        self._tables: list[DataFrame] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self._serial += 1
@@ -40,8 +41,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
+        self._tables.append(back)
         return back
 
+    def only(self, kept: DataFrame) -> None:
+        """Drops all tables but one, and the shuffles of the steps that made it."""
+        self.drop(*(t for t in self._tables if t is not kept))
+        self._tables = [kept]
+        self.release()
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of steps that are over: it does so
         once their plans are garbage, which a driver with little to do is slow to
